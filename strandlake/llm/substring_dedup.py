@@ -8,7 +8,7 @@
 4. Words covered by a repeated window are removed.
 
 Exact copies of a text are judged once: the copy with the smallest doc_id stands for all, the others are repeated whole.
-Per-window rows meet by hash, so one passage in a third of all documents is counted and joined as a stream, never gathered.
+Per-window rows meet by hash, so one passage in a third of all documents is sorted and streamed, which can spill.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, doc_order, sliding_min, slices, text_key
@@ -159,22 +159,19 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
     """
     if window < PHRASE:
         raise ValueError(f"window must be at least {PHRASE} words")
-    rows = docs.select("doc_id", "text", *keep, doc_order().alias("doc_order"), text_key(F.col("text")).alias("key"))
-    light = rows.where("key is not null").groupBy("key").agg(F.min("doc_order").alias("doc_order"))
+    # no column that joins is nullable, so that the shuffled texts are the same for both readers and are shuffled once
+    rows = docs.select("doc_id", "text", *keep, doc_order().alias("doc_order"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("key"))
+    light = rows.groupBy("key").agg(F.min("doc_order").alias("doc_order"))
 
-    phrases = rows.where("key is not null").select("text", "key").mapInArrow(_phrases(window), "phrase long, key long, n int")
-    phrases = phrases.repartition("phrase")
-    recurring = phrases.groupBy("phrase", "key").agg(F.max("n").alias("n")).groupBy("phrase").agg(F.sum("n").alias("n")).where("n >= 2").select("phrase")
-    wanted = phrases.join(recurring, "phrase").groupBy("key").agg(F.collect_set("phrase").alias("phrases"))
-    wanted = light.join(wanted, "key").select("doc_order", "key", "phrases")
+    phrases = rows.select("text", "key").mapInArrow(_phrases(window), "phrase long, key long, n int").repartition("phrase").dropDuplicates(["phrase", "key"])
+    recurring = phrases.withColumn("total", F.sum("n").over(Window.partitionBy("phrase"))).where("total >= 2")
+    wanted = light.join(recurring.groupBy("key").agg(F.collect_set("phrase").alias("phrases")), "key").select("doc_order", "key", "phrases")
 
     dealt = rows.repartition("doc_order", "key")
-    located = (
-        dealt.select("doc_order", "key", "text").join(wanted, ["doc_order", "key"]).mapInArrow(_located(window), "window long, doc_order long, key long, start int").repartition("window")
-    )
+    located = dealt.join(wanted, ["doc_order", "key"]).mapInArrow(_located(window), "window long, doc_order long, key long, start int")
     at = F.struct("doc_order", "start")
-    first = located.groupBy("window").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n >= 2").select("window", "first")
-    repeated = located.join(first, "window").where(at > F.col("first")).groupBy("doc_order", "key").agg(F.collect_list("start").alias("starts"))
+    first = located.withColumn("first", F.min(at).over(Window.partitionBy("window")))
+    repeated = first.where(at > F.col("first")).groupBy("doc_order", "key").agg(F.collect_list("start").alias("starts"))
     # a whole copy of an earlier text: its order is not the least of its key
     copies = light.select("key", "doc_order", F.lit(True).alias("is_first"))
     names = ["doc_id", "text", *keep]
@@ -182,7 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
     return (
         dealt.join(repeated, ["doc_order", "key"], "left")
         .join(copies, ["doc_order", "key"], "left")
-        .select(*names, "starts", (F.col("is_first").isNull() & F.col("key").isNotNull()).alias("copy"))
+        .select(*names, "starts", F.col("is_first").isNull().alias("copy"))
         .mapInArrow(_cut(window, names), f"{types}, kept_text string, n_words long, n_removed long")
     )
 
