@@ -8,7 +8,8 @@
 4. Words covered by a repeated window are removed.
 
 Exact copies of a text are judged once: the copy with the smallest doc_id stands for all, the others are repeated whole.
-Per-window rows meet by hash, so one passage in a third of all documents is sorted and streamed, which can spill.
+Each batch compares its own phrases and windows first and sends one row of equals to meet the other batches' by hash, so
+a passage in a third of all documents is no hot key.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, doc_order, sliding_min, slices, text_key
+from .common import Words, doc_order, mix, sliding_min, slices, text_key
 
 PHRASE = 8
 
@@ -34,7 +35,7 @@ def _selected(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _phrases(window: int):
-    """(text, key) -> (phrase, key, n): selected places of each phrase in each text, copies in a task once."""
+    """(text, key) -> (part, sure, phrase, key, n): selected places of each phrase in each text, copies in a task once."""
 
     def run(batches):
         seen: set[int] = set()
@@ -59,17 +60,22 @@ def _phrases(window: int):
                     continue
                 pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
                 new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1))))
-                n = np.diff(np.concatenate((new, [len(pairs)])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[new, 1]), pa.array(keys[lo:hi][pairs[new, 0]]), pa.array(np.minimum(n, 2).astype(np.int32))],
-                    names=["phrase", "key", "n"],
-                )
+                n = np.minimum(np.diff(np.concatenate((new, [len(pairs)]))), 2)
+                key, phrase = keys[lo:hi][pairs[new, 0]], pairs[new, 1]
+                # a phrase that recurs here needs one row for the count; its others are sure and dealt anywhere
+                _, head, which = np.unique(phrase, return_index=True, return_inverse=True)
+                total = np.bincount(which, n)
+                sure = total[which] >= 2
+                sure[head] = False
+                n[head] = np.minimum(total, 2)
+                part = np.where(sure, mix((key ^ phrase).view(np.uint64)).view(np.int64), phrase)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sure), pa.array(phrase), pa.array(key), pa.array(n.astype(np.int32))], names=["part", "sure", "phrase", "key", "n"])
 
     return run
 
 
 def _located(window: int):
-    """(doc_order, key, text, phrases) -> (window, doc_order, key, start): candidate windows around located phrases."""
+    """(doc_order, key, text, phrases) -> (part, later, doc_order, key, start): candidate windows around located phrases."""
 
     def run(batches):
         for batch in batches:
@@ -110,10 +116,15 @@ def _located(window: int):
                     continue
                 grams, _ = words.grams(window)
                 text = np.searchsorted(words.first, starts, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[starts].view(np.int64)), pa.array(order[lo:hi][text]), pa.array(keys[lo:hi][text]), pa.array((starts - words.first[text]).astype(np.int32))],
-                    names=["window", "doc_order", "key", "start"],
-                )
+                gram, doc, start = grams[starts].view(np.int64), order[lo:hi][text], starts - words.first[text]
+                # of equal windows only the earliest here is compared with others'; the rest are later and dealt anywhere
+                by = np.lexsort((start, doc, gram))
+                gram, doc, start, key = gram[by], doc[by], start[by], keys[lo:hi][text[by]]
+                head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+                head = np.repeat(head, np.diff(np.concatenate((head, [len(gram)]))))
+                later = (doc != doc[head]) | (start != start[head])
+                part = np.where(later, mix((gram + doc * 31 + start).view(np.uint64)).view(np.int64), gram)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(later), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32))], names=["part", "later", "doc_order", "key", "start"])
 
     return run
 
@@ -163,15 +174,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
     rows = docs.select("doc_id", "text", *keep, doc_order().alias("doc_order"), F.coalesce(text_key(F.col("text")), F.lit(0)).alias("key"))
     light = rows.groupBy("key").agg(F.min("doc_order").alias("doc_order"))
 
-    phrases = rows.select("text", "key").mapInArrow(_phrases(window), "phrase long, key long, n int").repartition("phrase").dropDuplicates(["phrase", "key"])
-    recurring = phrases.withColumn("total", F.sum("n").over(Window.partitionBy("phrase"))).where("total >= 2")
+    found = rows.select("text", "key").mapInArrow(_phrases(window), "part long, sure boolean, phrase long, key long, n int")
+    found = found.repartition("part", "sure").dropDuplicates(["part", "sure", "phrase", "key"])
+    recurring = found.withColumn("total", F.sum("n").over(Window.partitionBy("part", "sure"))).where("sure or total >= 2")
     wanted = light.join(recurring.groupBy("key").agg(F.collect_set("phrase").alias("phrases")), "key").select("doc_order", "key", "phrases")
 
     dealt = rows.repartition("doc_order", "key")
-    located = dealt.join(wanted, ["doc_order", "key"]).mapInArrow(_located(window), "window long, doc_order long, key long, start int")
+    located = dealt.join(wanted, ["doc_order", "key"]).mapInArrow(_located(window), "part long, later boolean, doc_order long, key long, start int")
     at = F.struct("doc_order", "start")
-    first = located.withColumn("first", F.min(at).over(Window.partitionBy("window")))
-    repeated = first.where(at > F.col("first")).groupBy("doc_order", "key").agg(F.collect_list("start").alias("starts"))
+    first = located.withColumn("first", F.min(at).over(Window.partitionBy("part", "later")))
+    repeated = first.where(F.col("later") | (at > F.col("first"))).groupBy("doc_order", "key").agg(F.collect_list("start").alias("starts"))
     # a whole copy of an earlier text: its order is not the least of its key
     copies = light.select("key", "doc_order", F.lit(True).alias("is_first"))
     names = ["doc_id", "text", *keep]
