@@ -14,15 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, doc_order, materialize, mix, slices, text_key
 
 GROUPS = 64
 LEAF = 16
-#: a shingle in at least this share of all texts is ordered last; at most (mean set size / share) shingles can be
-HOT_SHARE = 0.002
+#: a shingle counted in at least this share of all texts is ordered last; at most (mean set size / share) shingles can be
+HOT_SHARE = 0.0003
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def _sizes(size: int):
                 value = np.sort(value)
                 new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
                 n = np.diff(np.concatenate((new, [len(value)])))
-                use = n >= 3
+                use = n >= 2
                 if use.any():
                     hot = value[new[use]].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(hot), pa.nulls(len(hot), pa.int64()), pa.array(n[use].astype(np.int64))], names=["doc_order", "key", "n"])
@@ -67,7 +67,7 @@ def _sizes(size: int):
 
 
 def _prefixes(size: int, threshold: int, hot: np.ndarray):
-    """(key, text) -> (shingle, key) for the prefix of each set; copies in a task once. hot: shingles ordered last, hottest at the end."""
+    """(key, text) -> (shingle, key, size of the set) for the prefix of each set; copies in a task once. hot: shingles ordered last, hottest at the end."""
     place = np.argsort(hot)
     ordered = hot[place]
 
@@ -93,7 +93,7 @@ def _prefixes(size: int, threshold: int, hot: np.ndarray):
                         seen.add(k)
                 inside = np.arange(len(value)) - np.repeat(first[:-1], n) < np.repeat(need, n)
                 if inside.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(value[by][inside].view(np.int64)), pa.array(keys[lo:hi][owner[inside]])], names=["shingle", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(value[by][inside].view(np.int64)), pa.array(keys[lo:hi][owner[inside]]), pa.array(n[owner[inside]].astype(np.int32))], names=["shingle", "key", "size"])
 
     return run
 
@@ -220,13 +220,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     own = sizes.where("key is not null")
     reps = own.groupBy("key").agg(F.min("doc_order").alias("rep"), F.first("n").alias("n"))
     total = own.count()
-    frequent = sizes.where("key is null and n >= 3").groupBy("doc_order").agg(F.sum("n").alias("n")).where(F.col("n") >= max(30, HOT_SHARE * total))
+    frequent = sizes.where("key is null").groupBy("doc_order").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, HOT_SHARE * total))
     last = np.array([r[0] for r in frequent.orderBy("n", "doc_order").select("doc_order").collect()], np.int64).view(np.uint64)
 
-    posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last), "shingle long, key long").repartition("shingle")
-    shared = posts.groupBy("shingle", "key").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 2")
-    # texts that share a prefix shingle; most shingles have one text and end here
-    posts = materialize(posts.join(shared, "shingle").select(F.col("shingle").alias("token"), "key", "n").distinct(), "posts")
+    posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last), "shingle long, key long, size int").repartition("shingle").dropDuplicates(["shingle", "key"])
+    # the texts of a shingle fall apart where sizes, in order, differ too much to link; most are alone then and end here
+    by_size = Window.partitionBy("shingle").orderBy("size")
+    posts = posts.withColumn("gap", F.when(F.lag("size").over(by_size) * 100 < F.col("size") * threshold, 1).otherwise(0))
+    posts = posts.withColumn("chain", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("shingle", "chain"))).where("n >= 2")
+    posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n"), "posts")
     # a shingle whose texts all share a common, more frequent one adds no pair
     best = posts.groupBy("key").agg(F.max(F.struct("n", "token")).getField("token").alias("best"))
     useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo <> hi or lo = token").select("token")
