@@ -1,7 +1,8 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 Shingle sets that link share a shingle among the first n - ceil(t n) + 1 of each set, in any order that all sets share
-(prefix filtering, exact). Here hot shingles come last. Texts that share such a shingle meet in a bucket; there their
+(prefix filtering, exact). Here hot shingles come last. Texts that share such a shingle meet in a bucket, first with
+their prefixes alone; those that share enough of them come again with their whole texts. There their
 shingles are hashed into groups, the group counts are points of an R-tree, the sum of coordinate minima bounds the
 overlap, and pairs that the bound does not exclude are verified on the whole sets. A bucket reports a spanning forest of
 its links, not all pairs; connected components of all buckets' forests follow in Spark.
@@ -159,6 +160,42 @@ def link_forest(value: np.ndarray, first: np.ndarray, threshold: int) -> tuple[n
     return label, links
 
 
+def _survivors(threshold: int):
+    """Rows (bucket, key, size, tokens) of one bucket -> (bucket, key) of texts with a partner that shares enough of the prefix.
+
+    Of two prefixes, the one that ends first in the common order lies whole in the other's range, so of its shingles all
+    but (its set size - needed overlap) are shared.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, size = table.column("key").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+        tokens = table.column("tokens").combine_chunks()
+        n = len(keys)
+        first = np.concatenate(([0], np.cumsum(tokens.value_lengths().to_numpy())))
+        _, token = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(n), np.diff(first))
+        posted = owner[np.argsort(token, kind="stable")]
+        count = np.bincount(token)
+        begin = np.cumsum(count) - count
+        survives = np.zeros(n, bool)
+        for i in range(n):
+            own = token[first[i] : first[i + 1]]
+            own = own[count[own] > 1]
+            if not len(own):
+                continue
+            c = count[own]
+            at = np.repeat(begin[own] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            shared = np.bincount(posted[at], minlength=n)
+            need = -(-threshold * (size[i] + size) // (100 + threshold)) + threshold * np.maximum(size, size[i]) // -100 + 1
+            fits = (shared >= np.maximum(need, 1)) & (size * 100 >= threshold * size[i]) & (size * threshold <= 100 * size[i])
+            fits[i] = False
+            survives[i] = fits.any()
+        kept = keys[survives]
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(kept), pa.int64()), "key": pa.array(kept, pa.int64())})
+
+    return run
+
+
 def _bucket_links(size: int, threshold: int):
     """Rows (bucket, leader, key, text) of one bucket -> (a, b) links; for a bucket with a leader also (key, null) if not connected with it."""
 
@@ -229,14 +266,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     posts = posts.withColumn("gap", F.when(F.lag("size").over(by_size) * 100 < F.col("size") * threshold, 1).otherwise(0))
     posts = posts.withColumn("chain", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("shingle", "chain"))).where("n >= 2")
-    posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n"), "posts")
+    posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size"), "posts")
+    prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens"))
     # a shingle whose texts all share a common, more frequent one adds no pair
     best = posts.groupBy("key").agg(F.max(F.struct("n", "token")).getField("token").alias("best"))
     useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo <> hi or lo = token").select("token")
-    posts = materialize(posts.join(useful, "token"), "posts")
+    posts = materialize(posts.join(useful, "token").select("token", "key", "n"), "posts")
     n_rows = posts.count()
     buckets = max(1, -(-n_rows // bucket_rows))
-    normal = posts.where(F.col("n") <= hot).select(F.expr(f"pmod(xxhash64(token), {buckets})").alias("bucket"), F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("leader"), "key").distinct()
+    normal = posts.where(F.col("n") <= hot).select(F.expr(f"pmod(xxhash64(token), {buckets})").alias("bucket"), "key").distinct()
+    normal = normal.join(prefixes, "key").groupBy("bucket").applyInArrow(_survivors(threshold), "bucket long, key long")
+    normal = normal.select("bucket", F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("leader"), "key")
     led = _hot_buckets(posts.where(F.col("n") > hot), hot)
     schema = "a long, b long, token long"
 
