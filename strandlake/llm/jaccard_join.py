@@ -68,7 +68,7 @@ def _sizes(size: int):
 
 
 def _prefixes(size: int, threshold: int, hot: np.ndarray):
-    """(key, text) -> (shingle, key, size of the set) for the prefix of each set; copies in a task once. hot: shingles ordered last, hottest at the end."""
+    """(key, text) -> (shingle, key, size of the set, place) for the prefix of each set; copies in a task once. hot: shingles ordered last, hottest at the end."""
     place = np.argsort(hot)
     ordered = hot[place]
 
@@ -92,9 +92,10 @@ def _prefixes(size: int, threshold: int, hot: np.ndarray):
                         need[i] = 0
                     elif len(seen) < 1_000_000:
                         seen.add(k)
-                inside = np.arange(len(value)) - np.repeat(first[:-1], n) < np.repeat(need, n)
+                at = np.arange(len(value)) - np.repeat(first[:-1], n)
+                inside = at < np.repeat(need, n)
                 if inside.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(value[by][inside].view(np.int64)), pa.array(keys[lo:hi][owner[inside]]), pa.array(n[owner[inside]].astype(np.int32))], names=["shingle", "key", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(value[by][inside].view(np.int64)), pa.array(keys[lo:hi][owner[inside]]), pa.array(n[owner[inside]].astype(np.int32)), pa.array(at[inside].astype(np.int32))], names=["shingle", "key", "size", "at"])
 
     return run
 
@@ -163,8 +164,9 @@ def link_forest(value: np.ndarray, first: np.ndarray, threshold: int) -> tuple[n
 def _survivors(threshold: int):
     """Rows (bucket, key, size, tokens) of one bucket -> (bucket, key) of texts with a partner that shares enough of the prefix.
 
-    Of two prefixes, the one that ends first in the common order lies whole in the other's range, so of its shingles all
-    but (its set size - needed overlap) are shared.
+    A set has at most (its size - needed overlap) shingles that the partner lacks. Of two prefixes, the one that ends first
+    in the common order lies whole in the other's range, so all but that many of its shingles are shared; and up to the last
+    shared shingle, neither prefix may hold more shingles that are not.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -173,21 +175,27 @@ def _survivors(threshold: int):
         n = len(keys)
         first = np.concatenate(([0], np.cumsum(tokens.value_lengths().to_numpy())))
         _, token = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        place = table.column("places").combine_chunks().flatten().to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(n), np.diff(first))
-        posted = owner[np.argsort(token, kind="stable")]
+        by_token = np.argsort(token, kind="stable")
+        posted, posted_place = owner[by_token], place[by_token]
         count = np.bincount(token)
         begin = np.cumsum(count) - count
         survives = np.zeros(n, bool)
         for i in range(n):
-            own = token[first[i] : first[i + 1]]
-            own = own[count[own] > 1]
+            own, own_place = token[first[i] : first[i + 1]], place[first[i] : first[i + 1]]
+            own, own_place = own[count[own] > 1], own_place[count[own] > 1]
             if not len(own):
                 continue
             c = count[own]
             at = np.repeat(begin[own] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
             shared = np.bincount(posted[at], minlength=n)
-            need = -(-threshold * (size[i] + size) // (100 + threshold)) + threshold * np.maximum(size, size[i]) // -100 + 1
-            fits = (shared >= np.maximum(need, 1)) & (size * 100 >= threshold * size[i]) & (size * threshold <= 100 * size[i])
+            # places of the last shared shingle: prefixes are in the common order, so the last to be put stays
+            here, there = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            here[posted[at]], there[posted[at]] = np.repeat(own_place, c), posted_place[at]
+            overlap = -(-threshold * (size[i] + size) // (100 + threshold))
+            need = np.maximum(1, overlap + threshold * np.maximum(size, size[i]) // -100 + 1)
+            fits = (shared >= need) & (here + 1 - shared <= size[i] - overlap) & (there + 1 - shared <= size - overlap)
             fits[i] = False
             survives[i] = fits.any()
         kept = keys[survives]
@@ -244,7 +252,7 @@ def _hot_buckets(hot: DataFrame, hot_size: int) -> DataFrame:
     return dealt.unionByName(led).distinct().select(F.xxhash64("token", "part").alias("bucket"), "token", "leader", "key", "part")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot: int = 5000, bucket_rows: int = 1500) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot: int = 5000, bucket_rows: int = 4000) -> DataFrame:
     """Document classes under links with 100 * intersection >= threshold * union of their ``size``-word shingle sets.
 
     Words are lower-cased (A-Z). Returns doc_id, n_shingles, component_id (least doc_id of the class). A text with fewer
@@ -260,14 +268,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     frequent = sizes.where("key is null").groupBy("doc_order").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, HOT_SHARE * total))
     last = np.array([r[0] for r in frequent.orderBy("n", "doc_order").select("doc_order").collect()], np.int64).view(np.uint64)
 
-    posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last), "shingle long, key long, size int").repartition("shingle").dropDuplicates(["shingle", "key"])
+    posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last), "shingle long, key long, size int, at int").repartition("shingle").dropDuplicates(["shingle", "key"])
     # the texts of a shingle fall apart where sizes, in order, differ too much to link; most are alone then and end here
     by_size = Window.partitionBy("shingle").orderBy("size")
     posts = posts.withColumn("gap", F.when(F.lag("size").over(by_size) * 100 < F.col("size") * threshold, 1).otherwise(0))
     posts = posts.withColumn("chain", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("shingle", "chain"))).where("n >= 2")
-    posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size"), "posts")
-    prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.collect_list("token").alias("tokens"))
+    posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size", "at"), "posts")
+    prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("p")).select("key", "size", F.col("p.token").alias("tokens"), F.col("p.at").alias("places"))
     # a shingle whose texts all share a common, more frequent one adds no pair
     best = posts.groupBy("key").agg(F.max(F.struct("n", "token")).getField("token").alias("best"))
     useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo <> hi or lo = token").select("token")
