@@ -161,12 +161,13 @@ def link_forest(value: np.ndarray, first: np.ndarray, threshold: int) -> tuple[n
     return label, links
 
 
-def _survivors(threshold: int):
-    """Rows (bucket, key, size, tokens) of one bucket -> (bucket, key) of texts with a partner that shares enough of the prefix.
+def _survivors(threshold: int, buckets: int):
+    """Rows (bucket, key, size, tokens, places, useful) of one bucket -> (bucket, key) of texts with a partner that shares enough of the prefix.
 
     A set has at most (its size - needed overlap) shingles that the partner lacks. Of two prefixes, the one that ends first
     in the common order lies whole in the other's range, so all but that many of its shingles are shared; and up to the last
-    shared shingle, neither prefix may hold more shingles that are not.
+    shared shingle, neither prefix may hold more shingles that are not. A pair counts in the bucket of its first useful
+    shared token only.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -174,7 +175,11 @@ def _survivors(threshold: int):
         tokens = table.column("tokens").combine_chunks()
         n = len(keys)
         first = np.concatenate(([0], np.cumsum(tokens.value_lengths().to_numpy())))
-        _, token = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        known, token = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        bucket = table.column("bucket")[0].as_py()
+        routed = np.zeros(len(known), np.int8)
+        routed[token[np.asarray(table.column("useful").combine_chunks().flatten(), bool)]] = 1
+        routed[(routed == 1) & (np.mod(known, buckets) == bucket)] = 2
         place = table.column("places").combine_chunks().flatten().to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(n), np.diff(first))
         by_token = np.argsort(token, kind="stable")
@@ -193,13 +198,17 @@ def _survivors(threshold: int):
             # places of the last shared shingle: prefixes are in the common order, so the last to be put stays
             here, there = np.zeros(n, np.int64), np.zeros(n, np.int64)
             here[posted[at]], there[posted[at]] = np.repeat(own_place, c), posted_place[at]
+            goes = np.repeat(routed[own], c)
+            use = np.flatnonzero(goes)[::-1]  # reversed: the first to be shared stays
+            route = np.zeros(n, np.int8)
+            route[posted[at[use]]] = goes[use]
             overlap = -(-threshold * (size[i] + size) // (100 + threshold))
             need = np.maximum(1, overlap + threshold * np.maximum(size, size[i]) // -100 + 1)
-            fits = (shared >= need) & (here + 1 - shared <= size[i] - overlap) & (there + 1 - shared <= size - overlap)
+            fits = (route == 2) & (shared >= need) & (here + 1 - shared <= size[i] - overlap) & (there + 1 - shared <= size - overlap)
             fits[i] = False
             survives[i] = fits.any()
         kept = keys[survives]
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(kept), pa.int64()), "key": pa.array(kept, pa.int64())})
+        return pa.table({"bucket": pa.array([bucket] * len(kept), pa.int64()), "key": pa.array(kept, pa.int64())})
 
     return run
 
@@ -275,15 +284,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     posts = posts.withColumn("chain", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("shingle", "chain"))).where("n >= 2")
     posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size", "at"), "posts")
-    prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("p")).select("key", "size", F.col("p.token").alias("tokens"), F.col("p.at").alias("places"))
-    # a shingle whose texts all share a common, more frequent one adds no pair
-    best = posts.groupBy("key").agg(F.max(F.struct("n", "token")).getField("token").alias("best"))
-    useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo <> hi or lo = token").select("token")
-    posts = materialize(posts.join(useful, "token").select("token", "key", "n"), "posts")
+    # a shingle whose texts all share another one, the first of each, adds no pair
+    best = posts.groupBy("key").agg(F.min(F.struct("at", "token")).getField("token").alias("best"))
+    useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo <> hi or lo = token").select("token", F.lit(True).alias("useful"))
+    posts = materialize(posts.join(useful, "token", "left").withColumn("useful", F.coalesce("useful", F.lit(False))), "posts")
+    prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "token", "useful"))).alias("p"))
+    prefixes = prefixes.select("key", "size", F.col("p.token").alias("tokens"), F.col("p.at").alias("places"), F.col("p.useful").alias("useful"))
+    posts = posts.where("useful").select("token", "key", "n")
     n_rows = posts.count()
     buckets = max(1, -(-n_rows // bucket_rows))
-    normal = posts.where(F.col("n") <= hot).select(F.expr(f"pmod(xxhash64(token), {buckets})").alias("bucket"), "key").distinct()
-    normal = normal.join(prefixes, "key").groupBy("bucket").applyInArrow(_survivors(threshold), "bucket long, key long")
+    normal = posts.where(F.col("n") <= hot).select(F.expr(f"pmod(token, {buckets}L)").alias("bucket"), "key").distinct()
+    normal = normal.join(prefixes, "key").groupBy("bucket").applyInArrow(_survivors(threshold, buckets), "bucket long, key long")
     normal = normal.select("bucket", F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("leader"), "key")
     led = _hot_buckets(posts.where(F.col("n") > hot), hot)
     schema = "a long, b long, token long"
