@@ -18,80 +18,61 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: entries of the per-process cache from a text chunk to its ids
-CACHE = 400_000
 
+#: the splitting pattern of byte-level BPE (a fixed value)
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-class ChunkEncoder:
-    """Ids of many texts by a byte-level BPE tokenizer, through a bounded cache of space-led chunks.
 
-    The tokenizer's own splitting never joins a space-led run with what is before it unless white space meets the
-    space; texts with such places are encoded whole.
-    """
+def _ranked(tokenizer):
+    """The tokenizer's own BPE by ranks, faster for text seen once; None unless its merges stand in the order of their ids."""
+    import json
+
+    import tiktoken
+
+    spec = json.loads(tokenizer.to_str())
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("ignore_merges") and not model.get("dropout")
+    if not plain or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    # byte-level vocabularies write bytes as printable characters: those that print stand for themselves, the others follow from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    own = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: own.encode_to_numpy(text, disallowed_special=())
+
+
+class TextEncoder:
+    """Ids of many texts as the tokenizer file gives them (no special tokens added). Texts that hold a special token's string go through the tokenizer itself."""
 
     def __init__(self, path: str):
         import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast = _ranked(self.tokenizer)
         self.special = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or "(?!)")
-        self.meeting = re.compile(r" \s|\s ")
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.joined, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        new = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks)), strict=True))
-        n = np.array([len(x) for x in new], np.int64)
-        self.begin = np.concatenate((self.begin, len(self.joined) + np.cumsum(n) - n))
-        self.length = np.concatenate((self.length, n))
-        self.joined = np.concatenate((self.joined, *new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        parts, whole = [], []
-        for i, text in enumerate(texts):
-            if self.meeting.search(text) or self.special.search(text):
-                whole.append(i)
-            elif text:
-                words = text.split(" ")
-                words[1:] = [" " + w for w in words[1:]]
-                if not words[0]:
-                    del words[0]
-                if words[-1] == " " and len(words) > 1 and words[-2][-1:].isspace():
-                    whole.append(i)
-                else:
-                    parts.append((i, words))
-            else:
-                out[i] = np.zeros(0, np.uint32)
-        for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        if len(self.at) > CACHE:
-            self.clear()
-        fresh = list(dict.fromkeys(w for _, words in parts for w in words if w not in self.at))
-        if fresh:
-            self._learn(fresh)
-        for i, words in parts:
-            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            n = self.length[at]
-            ends = np.cumsum(n)
-            out[i] = self.joined[np.repeat(self.begin[at] - (ends - n), n) + np.arange(ends[-1])]
-        return out
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
-    return _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, ChunkEncoder(path)) or _ENCODERS[path]
+        whole = [i for i, t in enumerate(texts) if self.fast is None or self.special.search(t)]
+        known = dict(zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True))
+        return [np.array(known[i].ids, np.uint32) if i in known else self.fast(t) for i, t in enumerate(texts)]
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
