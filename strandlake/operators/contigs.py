@@ -27,7 +27,7 @@ def contigs(codes: DataFrame) -> DataFrame:
     """(record_ix, contig_ix, twobit, genomic, length, digits): each run of bases, its start among all coded bases and in its record."""
     total = running_total(codes.select("record_ix", F.length(F.regexp_replace("codes", "N", "")).alias("n")), F.col("n")).select("record_ix", "before")
     runs = codes.select("record_ix", F.posexplode(F.regexp_extract_all("codes", F.lit("(N*)([0-3]+)"), F.lit(0))).alias("contig_ix", "piece"))
-    runs = runs.select("record_ix", "contig_ix", F.length("piece").alias("all"), F.ltrim(F.lit("N"), F.col("piece")).alias("digits"))
+    runs = runs.select("record_ix", "contig_ix", F.length("piece").alias("all"), F.ltrim(F.col("piece"), F.lit("N")).alias("digits"))
     order = Window.partitionBy("record_ix").orderBy("contig_ix")
     n = F.length("digits")
     runs = runs.withColumn("genomic", (F.sum("all").over(order) - n).cast("long")).withColumn("done", (F.sum(n).over(order) - n).cast("long"))

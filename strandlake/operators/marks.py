@@ -16,12 +16,14 @@ def kmers(found: DataFrame, k: int, halo: int = 0, chunk: int = CHUNK) -> DataFr
 
     With ``halo``, a chunk repeats the k-mers of its last ``halo`` bases before its start.
     """
-    rows = found.where(F.col("length") >= k).select("record_ix", "contig_ix", "twobit", "length", "digits", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("length") - 1) / chunk)).alias("chunk"))
+    rows = found.where(F.col("length") >= k).select("record_ix", "contig_ix", "twobit", "length", "digits", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / chunk))).alias("chunk"))
     first = F.greatest(F.col("chunk") * chunk + 1 - halo, F.lit(k))
     last = F.least((F.col("chunk") + 1) * chunk, F.col("length"))
     rows = rows.select("record_ix", "contig_ix", "twobit", "chunk", first.cast("long").alias("first"), last.cast("long").alias("last"), "digits").where("first <= last")
     rows = rows.withColumn("part", F.expr(f"substring(digits, int(first - {k} + 1), int(last - first + {k}))")).drop("digits")
-    rows = rows.select("*", F.explode(F.sequence("first", "last")).alias("o"))
+    # dealt while a base is one character; what the windows need stays in place, and the number is kept however small the data
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "record_ix", "contig_ix", "chunk").select("*", F.explode(F.sequence("first", "last")).alias("o"))
     sub = F.expr(f"substring(part, int(o - first + 1), {k})")
     rows = rows.select("record_ix", "contig_ix", "chunk", "o", (F.col("twobit") + F.col("o")).alias("pos"), sub.alias("sub"))
     return rows.select("record_ix", "contig_ix", "chunk", "o", "pos", kmer.template(F.col("sub")).alias("dna"), kmer.reverse(F.col("sub")).alias("rc"))
@@ -41,12 +43,19 @@ def median_marks(found: DataFrame, k: int, read_len: int, seed: int, chunk: int
     window's width. Windows are independent, so long contigs are worked in chunks with a halo.
     """
     window = read_len + 1 - k
-    rows = candidates(kmers(found, k, halo=window - 1, chunk=chunk), k, window, seed)
+    width = F.lit(2 * window).cast("long")
+    ring = F.pmod(F.col("o") - k, F.lit(window))
+    # one number orders a candidate, by hash and place in the ring, and gives back its place, strand and (the hash being
+    # its own inverse) k-mer, so that windows hold and sort plain numbers
+    code = lambda col, ori: kmer.xmer_hash(F.col(col), seed, k) * width + ring * 2 + ori
+    rows = kmers(found, k, halo=window - 1, chunk=chunk).select("record_ix", "contig_ix", "chunk", "o", "pos", F.array(code("dna", 0), code("rc", 1)).alias("pair"))
     frame = Window.partitionBy("record_ix", "contig_ix", "chunk").orderBy("o").rowsBetween(-(window - 1), 0)
-    middle = F.element_at(F.array_sort(F.flatten(F.collect_list("pair").over(frame))), window + 1)
-    whole = (F.col("o") >= read_len) & (F.count("*").over(frame) == window)
-    chosen = rows.select("record_ix", "contig_ix", F.when(whole, middle).alias("m")).where("m is not null")
-    return chosen.select("record_ix", "contig_ix", "m.pos", "m.ori", "m.kmer").distinct()
+    middle = F.element_at(F.sort_array(F.flatten("held")), window + 1)
+    rows = rows.withColumn("held", F.collect_list("pair").over(frame)).where((F.col("o") >= read_len) & (F.size("held") == window))
+    rows = rows.withColumn("m", middle).withColumn("s", F.col("m") % width)
+    back = F.pmod(ring - F.floor(F.col("s") / 2), F.lit(window))
+    value = kmer.xmer_hash(F.floor(F.col("m") / width), seed, k)
+    return rows.select("record_ix", "contig_ix", (F.col("pos") - back).alias("pos"), (F.col("s") % 2).cast("int").alias("ori"), value.alias("kmer")).distinct()
 
 
 def without_recurrence(marks: DataFrame, max_dist: int, bits: int | None = None) -> DataFrame:

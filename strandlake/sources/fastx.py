@@ -54,7 +54,7 @@ def read_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
 def write_fasta(records: DataFrame, path: str, width: int = 60, compression: str = "none") -> None:
     """(record_ix, name, description, seq) as FASTA parts in record order, lines of ``width``."""
     head = F.concat_ws(" ", F.concat(F.lit(">"), "name"), "description")
-    lines = F.rtrim(F.lit("\n"), F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"))
+    lines = F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), F.lit("\n"))
     ordered = records.repartitionByRange("record_ix").sortWithinPartitions("record_ix")
     ordered.select(F.concat_ws("\n", head, lines).alias("value")).write.option("compression", compression).text(path)
 
