@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 Shingle sets that link share a shingle among the first n - ceil(t n) + 1 of each set, in any order that all sets share
-(prefix filtering, exact). Here hot shingles come last. Texts that share such a shingle meet in a bucket, first with
+(prefix filtering, exact). Here shingles of rare words come first and hot shingles last, so few texts meet by chance. Texts that share such a shingle meet in a bucket, first with
 their prefixes alone; those that share enough of them come again with their whole texts. There their
 shingles are hashed into groups, the group counts are points of an R-tree, the sum of coordinate minima bounds the
 overlap, and pairs that the bound does not exclude are verified on the whole sets. A bucket reports a spanning forest of
@@ -24,10 +24,15 @@ GROUPS = 64
 LEAF = 16
 #: a shingle counted in at least this share of all texts is ordered last; at most (mean set size / share) shingles can be
 HOT_SHARE = 0.0003
+#: words counted in at least this share of all places weigh in the order; at most (1 / share) words can
+WORD_SHARE = 0.00001
 
 
-def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, behind each other, and where each text's begin. Short texts: one shingle."""
+def shingle_sets(words: Words, size: int, weight: np.ndarray | None = None):
+    """Sorted distinct shingle hashes of each text, behind each other, and where each text's begin. Short texts: one shingle.
+
+    With weights of the words, also the sum of the weights in each shingle (short texts: 0).
+    """
     grams, good = words.grams(size)
     text = words.text_of_word()
     counts = np.diff(words.first)
@@ -43,32 +48,62 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     value, owner = value[order], owner[order]
     if len(value):
         new = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
-        value, owner = value[new], owner[new]
-    return value, np.searchsorted(owner, np.arange(len(counts) + 1))
+        value, owner, order = value[new], owner[new], order[new]
+    first = np.searchsorted(owner, np.arange(len(counts) + 1))
+    if weight is None:
+        return value, first
+    upto = np.concatenate(([0], np.cumsum(weight)))
+    at = np.flatnonzero(good)
+    heavy = np.concatenate((upto[at + size] - upto[at], np.zeros(len(short), np.int64)))
+    return value, first, heavy[order]
+
+
+def _often(value: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values that stand at least ``least`` times, and how often."""
+    known, n = np.unique(value, return_counts=True)
+    return known[n >= least].view(np.int64), n[n >= least]
 
 
 def _sizes(size: int):
-    """(doc_order, key, text) -> set size per row, and shingles frequent in a slice with their count there (key null)."""
+    """(doc_order, key, text) -> set size per row (kind 0), and shingles (1) and words (2) frequent in a slice with their count there (hash in doc_order); the slice's number of words (3)."""
+
+    def rows(kind: int, order, key, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), order, key, pa.array(n.astype(np.int64))], names=["kind", "doc_order", "key", "n"])
 
     def run(batches):
         for batch in batches:
             order, key = batch.column("doc_order"), batch.column("key")
             for lo, hi, data, offsets in slices(batch.column("text"), 1 << 22):
-                value, first = shingle_sets(Words(data, offsets, lower=True), size)
-                yield pa.RecordBatch.from_arrays([order.slice(lo, hi - lo), key.slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64))], names=["doc_order", "key", "n"])
-                value = np.sort(value)
-                new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
-                n = np.diff(np.concatenate((new, [len(value)])))
-                use = n >= 2
-                if use.any():
-                    hot = value[new[use]].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hot), pa.nulls(len(hot), pa.int64()), pa.array(n[use].astype(np.int64))], names=["doc_order", "key", "n"])
+                words = Words(data, offsets, lower=True)
+                value, first = shingle_sets(words, size)
+                yield rows(0, order.slice(lo, hi - lo), key.slice(lo, hi - lo), np.diff(first))
+                yield rows(3, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), np.array([len(words.hash)]))
+                for kind, found in ((1, _often(value, 2)), (2, _often(words.hash, max(2, WORD_SHARE * len(words.hash))))):
+                    if len(found[0]):
+                        yield rows(kind, pa.array(found[0]), pa.nulls(len(found[0]), pa.int64()), found[1])
 
     return run
 
 
-def _prefixes(size: int, threshold: int, hot: np.ndarray):
-    """(key, text) -> (shingle, key, size of the set, place) for the prefix of each set; copies in a task once. hot: shingles ordered last, hottest at the end."""
+def _weights(common: np.ndarray, counts: np.ndarray, least: float):
+    """Function from word hashes to weights: the logarithm of a word's count over the least one, in eighths; rarer words 0."""
+    by = np.argsort(common)
+    known, weight = common[by], (1 + 8 * np.log2(counts[by] / least)).astype(np.int64)
+
+    def weigh(words: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return np.where(known[at] == words, weight[at], 0)
+
+    return weigh
+
+
+def _prefixes(size: int, threshold: int, hot: np.ndarray, weigh):
+    """(key, text) -> (shingle, key, size of the set, place) for the prefix of each set; copies in a task once.
+
+    The common order: by the weight of the words, rare ones first, then by hash. hot: shingles ordered last, hottest at the end.
+    """
     place = np.argsort(hot)
     ordered = hot[place]
 
@@ -77,10 +112,11 @@ def _prefixes(size: int, threshold: int, hot: np.ndarray):
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in slices(batch.column("text")):
-                value, first = shingle_sets(Words(data, offsets, lower=True), size)
+                words = Words(data, offsets, lower=True)
+                value, first, weight = shingle_sets(words, size, weigh(words.hash))
                 n = np.diff(first)
                 owner = np.repeat(np.arange(hi - lo), n)
-                rank = value >> np.uint64(1)
+                rank = weight.astype(np.uint64)
                 if len(ordered) and len(value):
                     at = np.minimum(np.searchsorted(ordered, value), len(ordered) - 1)
                     is_hot = ordered[at] == value
@@ -270,14 +306,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     """
     rows = docs.select("doc_id", doc_order().alias("doc_order"), text_key(F.col("text")).alias("key"), "text")
     texts = rows.where("key is not null")
-    sizes = materialize(rows.select("doc_order", "key", "text").mapInArrow(_sizes(size), "doc_order long, key long, n long"), "sizes")
-    own = sizes.where("key is not null")
+    sizes = materialize(rows.select("doc_order", "key", "text").mapInArrow(_sizes(size), "kind int, doc_order long, key long, n long"), "sizes")
+    own = sizes.where("kind = 0").drop("kind")
     reps = own.groupBy("key").agg(F.min("doc_order").alias("rep"), F.first("n").alias("n"))
     total = own.count()
-    frequent = sizes.where("key is null").groupBy("doc_order").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, HOT_SHARE * total))
-    last = np.array([r[0] for r in frequent.orderBy("n", "doc_order").select("doc_order").collect()], np.int64).view(np.uint64)
+    places = sizes.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def frequent(kind: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        found = sizes.where(F.col("kind") == kind).groupBy("doc_order").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("n", "doc_order").collect()
+        return np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+
+    last, _ = frequent(1, max(8, HOT_SHARE * total))
+    least = max(8, WORD_SHARE * places)
+    weigh = _weights(*frequent(2, least), least)
 
-    posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last), "shingle long, key long, size int, at int").repartition("shingle").dropDuplicates(["shingle", "key"])
+    posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last, weigh), "shingle long, key long, size int, at int").repartition("shingle").dropDuplicates(["shingle", "key"])
     # the texts of a shingle fall apart where sizes, in order, differ too much to link; most are alone then and end here
     by_size = Window.partitionBy("shingle").orderBy("size")
     posts = posts.withColumn("gap", F.when(F.lag("size").over(by_size) * 100 < F.col("size") * threshold, 1).otherwise(0))
