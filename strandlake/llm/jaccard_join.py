@@ -297,6 +297,24 @@ def _hot_buckets(hot: DataFrame, hot_size: int) -> DataFrame:
     return dealt.unionByName(led).distinct().select(F.xxhash64("token", "part").alias("bucket"), "token", "leader", "key", "part")
 
 
+def _able(posts: DataFrame, threshold: int) -> DataFrame:
+    """Posts (token, key, n, size, at) without texts that cannot link with any text of the token.
+
+    Prefixes of linked sets of sizes a <= b share at least t (a + b) / (1 + t) - t b shingles, the fewer the more the sizes
+    differ, and no more than either set shares with anyone.
+    """
+    t = threshold / 100
+    shared = posts.groupBy("key").agg(F.count("*").alias("k"))
+    counted = posts.join(shared, "key")
+    ends = counted.groupBy("token").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("k").alias("least_k"))
+    size = F.col("size")
+    small, large = F.greatest(F.col("lo").cast("double"), size * t), F.least(F.col("hi").cast("double"), size / t)
+    need = F.least((size + small) * t / (1 + t) - size * t, (size + large) * t / (1 + t) - large * t)
+    # of two texts, neither can share more than the other
+    most = F.when(F.col("n") == 2, F.col("least_k")).otherwise(F.col("k"))
+    return counted.join(ends, "token").where(most >= need - 1e-6).select("token", "key", "n", "size", "at")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot: int = 5000, bucket_rows: int = 4000) -> DataFrame:
     """Document classes under links with 100 * intersection >= threshold * union of their ``size``-word shingle sets.
 
@@ -327,9 +345,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     posts = posts.withColumn("chain", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("shingle", "chain"))).where("n >= 2")
     posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size", "at"), "posts")
+    posts = materialize(_able(posts, threshold), "posts")
     # a shingle whose texts all share another one, the first of each, adds no pair
     best = posts.groupBy("key").agg(F.min(F.struct("at", "token")).getField("token").alias("best"))
-    useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi")).where("lo <> hi or lo = token").select("token", F.lit(True).alias("useful"))
+    useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi"), F.count("*").alias("n")).where("n >= 2 and (lo <> hi or lo = token)").select("token", F.lit(True).alias("useful"))
     posts = materialize(posts.join(useful, "token", "left").withColumn("useful", F.coalesce("useful", F.lit(False))), "posts")
     prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "token", "useful"))).alias("p"))
     prefixes = prefixes.select("key", "size", F.col("p.token").alias("tokens"), F.col("p.at").alias("places"), F.col("p.useful").alias("useful"))
