@@ -175,7 +175,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
     light = rows.groupBy("key").agg(F.min("doc_order").alias("doc_order"))
 
     found = rows.select("text", "key").mapInArrow(_phrases(window), "part long, sure boolean, phrase long, key long, n int")
-    found = found.repartition("part", "sure").dropDuplicates(["part", "sure", "phrase", "key"])
+    # copies of a text in several tasks: n of the one that spoke for a whole batch holds, and any other is no evidence against it
+    found = found.repartition("part", "sure").groupBy("part", "sure", "phrase", "key").agg(F.max("n").alias("n"))
     recurring = found.withColumn("total", F.sum("n").over(Window.partitionBy("part", "sure"))).where("sure or total >= 2")
     wanted = light.join(recurring.groupBy("key").agg(F.collect_set("phrase").alias("phrases")), "key").select("doc_order", "key", "phrases")
 

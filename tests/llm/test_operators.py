@@ -152,6 +152,22 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_copy_in_another_task(spark):
+    rng = random.Random(11)
+    say = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    tasks, first, d = [[], []], [], 0
+    for i in range(40):  # a passage in two texts of one task, and a copy of one of them in the other task; each task comes first once
+        passage = say(30)
+        one, two = (" ".join(say(20) + passage + say(20)) for _ in range(2))
+        tasks[i % 2] += [(d, one), (d + 1, two)]
+        tasks[1 - i % 2].append((d + 2, one))
+        first.append(d)
+        d += 3
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(tasks, 2).flatMap(list), "doc_id long, text string")
+    out = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(rows).collect()}
+    assert out == {d + j: n for d in first for j, n in enumerate((0, 30, 70))}
+
+
 @pytest.mark.parametrize("size,threshold,hot", [(4, 85, 5000), (5, 80, 3)])
 def test_jaccard_components(docs, rows, size, threshold, hot):
     sets = {}
