@@ -3,8 +3,9 @@
 A paragraph (line) becomes a 63-bit key: 43 bits of its hash and its length in 20 bits. A sketch has three tables of
 cells; each key is added to one cell of each table, as a count, an XOR of keys and an XOR of check hashes. The sketches
 of two versions subtract cell by cell; peeling cells that hold one key recovers the keys found in just one version. If
-peeling ends with cells left, both versions are sketched again with four times as many cells. The likeness of two
-fingerprints is the share of characters (with one per paragraph) outside the recovered difference.
+peeling ends with cells left, both versions are sketched again with four times as many cells; what no size recovers, or
+only sketches that cost too much, is taken exactly from the keys. The likeness of two fingerprints is the share of
+characters (with one per paragraph) outside the recovered difference.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: cells of the published sketch, growth per retry, number of sizes, rounds of peeling
 CELLS, GROWTH, SIZES, PEELS = 24, 4, 6, 12
+#: a larger sketch is tried while its cells times the keys of both versions are at most this; the exact difference costs less beyond
+WORK = 1 << 24
 LENGTH_BITS = 20
 #: documents that one window group holds on average when the next document is looked up
 ROWS = 256
@@ -98,25 +101,28 @@ def _subtract(a: Column, b: Column) -> Column:
 
 
 def difference(keys_a: Column, cells_a: Column, keys_b: Column, cells_b: Column) -> Column:
-    """(ok, diff): characters of the paragraphs in just one version; the published sketches first, larger ones on failure."""
+    """Characters of the paragraphs in just one version; the published sketches first, larger ones on failure, then the keys."""
+    mask = F.lit((1 << LENGTH_BITS) - 1)
 
     def retry(state, level):
         per_table = (F.lit(CELLS // 3) * F.pow(F.lit(GROWTH), level)).cast("long")
-        return F.when(state["ok"], state).otherwise(
+        dear = per_table * 3 * (F.size(keys_a) + F.size(keys_b)) > WORK
+        return F.when(state["ok"] | dear, state).otherwise(
             F.element_at(F.transform(F.array(F.struct(per_table.alias("m"))), lambda p: _peel(_subtract(sketch(keys_a, p["m"]), sketch(keys_b, p["m"])), p["m"])), 1)
         )
 
     first = _peel(_subtract(cells_a, cells_b), F.lit(CELLS // 3).cast("long"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SIZES - 1)), first, retry)
+    only = F.concat(F.array_except(keys_a, keys_b), F.array_except(keys_b, keys_a))
+    exact = F.aggregate(only, F.lit(0).cast("long"), lambda a, k: a + k.bitwiseAND(mask))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SIZES - 1)), first, retry, lambda s: F.when(s["ok"], s["diff"]).otherwise(exact))
 
 
 def likeness(keys_a: Column, cells_a: Column, keys_b: Column, cells_b: Column) -> Column:
-    """1 - (characters of differing paragraphs) / (characters of all), 0 to 1; 0 if no size of sketch could be peeled."""
+    """1 - (characters of differing paragraphs) / (characters of all), 0 to 1."""
     mask = F.lit((1 << LENGTH_BITS) - 1)
     size = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + k.bitwiseAND(mask))
     total = (size(keys_a) + size(keys_b)).cast("double")
-    d = difference(keys_a, cells_a, keys_b, cells_b)
-    return F.element_at(F.transform(F.array(F.struct(d.alias("d"), total.alias("t"))), lambda s: F.when(s["d"]["ok"], F.lit(1.0) - s["d"]["diff"] / s["t"]).otherwise(F.lit(0.0))), 1)
+    return F.lit(1.0) - difference(keys_a, cells_a, keys_b, cells_b) / total
 
 
 def with_next(docs: DataFrame) -> DataFrame:

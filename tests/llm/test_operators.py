@@ -138,6 +138,23 @@ def test_fingerprint_retries_larger(spark):
     assert out[1].near_next == 0.0 and 0.3 < out[1].near_edited < 0.7
 
 
+def test_fingerprint_beyond_the_largest_sketch(spark):
+    a = [f"line {i}" for i in range(40_000)]
+    b = a[:20_000] + [f"row {i}" for i in range(20_000, 40_000)]
+    keys = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string").select(*(fingerprints.paragraph_keys(F.col(c)).alias(c) for c in "ab"))
+    keys = keys.select("*", *(fingerprints.sketch(F.col(c)).alias(f"cells_{c}") for c in "ab"))
+    near = keys.select(fingerprints.likeness(*(F.col(c) for c in ("a", "cells_a", "b", "cells_b")))).first()[0]
+    size = lambda lines: sum(len(x) + 1 for x in lines)
+    assert near == pytest.approx(1 - size(set(a) ^ set(b)) / (size(a) + size(b)))
+
+
+def test_fingerprint_when_no_size_peels(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SIZES", 2)
+    a = "\n".join(f"line {i}" for i in range(400))
+    out = fingerprints.fingerprints(spark.createDataFrame([(1, a), (2, a[: len(a) // 2])], "doc_id long, text string"))
+    assert 0.6 < {r.doc_id: r.near_next for r in out.collect()}[1] < 0.7
+
+
 def test_substring_dedup(docs, rows):
     first, expected = {}, {}
     for d, text in rows:
