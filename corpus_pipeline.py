@@ -24,11 +24,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each class of near copies (five words, 0.8); one row of equal doc_ids."""
-    classes = jaccard_join.jaccard_components(docs, size=5, threshold=80)
-    kept = classes.where("component_id <=> doc_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows
+    """One row of each class of near copies (five words, 0.8): that of the least doc_id, a null one first, then of the least hash.
+
+    Texts are judged by themselves, also those under one doc_id or under none; a text without words is like no other.
+    Rows of equal doc_id and text are one document; the one of the least other columns stays.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_node"))
+    classes = jaccard_join.jaccard_components(rows.select(F.col("_node").alias("doc_id"), "text"), size=5, threshold=80)
+    classes = classes.select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    nodes = rows.groupBy("_node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    least = nodes.join(classes, "_node").groupBy("component_id").agg(F.min(F.struct("doc_id", "_node", "n")).alias("least"))
+    kept = materialize(least.select("least._node", F.col("least.n").alias("_n")), "kept")
+    rows = rows.join(kept, "_node")
+    # only repeated rows meet
+    again = rows.where("_n > 1").groupBy("_node").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rows.where("_n = 1").select(*COLUMNS).unionByName(again)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -336,3 +336,24 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in seen[-1].collect()}
     assert {r.doc_id for r in docs.collect()} == kept
     assert 0.6 * seen[0].count() < len(kept) < seen[0].count()
+
+
+def test_one_of_each_class_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    say = lambda: [f"w{rng.randrange(10_000)}" for _ in range(80)]
+    near = lambda words: " ".join([*words[:-1], f"n{rng.randrange(10_000)}"])
+    a, b, c, d = say(), say(), say(), say()
+    texts = [
+        (1, " ".join(a)), (1, " ".join(a)), (1, " ".join(a)),  # repeated rows
+        (2, " ".join(b)), (2, near(b)), (3, near(b)),  # near copies under one doc_id
+        (None, " ".join(c)), (None, near(c)), (None, " ".join(c)), (9, near(c)), (None, " ".join(say())),  # and under none
+        (4, " ".join(d)), (4, " ".join(say())),  # strangers under one doc_id
+        (5, ""), (6, ""), (7, None),
+    ]
+    rows = [(i, t, "en", f"s{j}", len(t or "")) for j, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.one_of_each_class(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "2", "4", "4", "5", "6", "7", "None", "None"]
+    assert {r.source for r in out} >= {"s0", "s10", "s11", "s12", "s13", "s14", "s15"}
