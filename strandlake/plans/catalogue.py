@@ -144,6 +144,10 @@ def slot_table(spark, sf_dir):
     return slots.place(_postings(spark, sf_dir), LARGE[0])[0]
 
 
+def slot_overflow(spark, sf_dir):
+    return slots.place(_postings(spark, sf_dir), LARGE[0])[1]
+
+
 def slot_stats(spark, sf_dir):
     return slots.occupancy(slot_table(spark, sf_dir), LARGE[0])
 
@@ -204,7 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__ if f is not contig_table else "contigs": f
     for f in (
         base_composition, base_encode_nibble, contig_table, contig_lengths, contig_terminals, record_summary, kmers_canonical, kmer_spectrum, xmer_hash, extend_slot, xmer_unhash, pack_unpack_location,
-        window_candidates, median_marks, marks_per_record, recurrence_filter, multimap_chain, repetitive_kept, repeat_period_top20, slot_route_histogram, slot_table, slot_stats, pos_to_contig,
+        window_candidates, median_marks, marks_per_record, recurrence_filter, multimap_chain, repetitive_kept, repeat_period_top20, slot_route_histogram, slot_table, slot_overflow, slot_stats, pos_to_contig,
         kmer_interval, base_range_scan, map_reads, map_summary, reconstruct_check, fasta_roundtrip, fastq_roundtrip,
     )
 } | {"postings": posting_lists}
