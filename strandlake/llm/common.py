@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -9,21 +10,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints"
+LOCAL_SHARED = "/tmp/checkpoints"
 MIN_LONG = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """The folder all executors share, spark.checkpoint.dir. Where it is unset, a local folder in local mode and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or LOCAL_SHARED
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, drops: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    drops: tables written before that nothing reads after this one; they are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop(*drops)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._stored_at
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def text_key(text: Column) -> Column:
@@ -43,9 +61,8 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
 
 # --- words ----------------------------------------------------------------------------------------
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 4096
-with np.errstate(over="ignore"):
-    _POW = np.cumprod(np.full(_BLOCK, _MULT, np.uint64), dtype=np.uint64)
+#: bytes that are hashed at once, so that arrays of a number a byte stay small
+_SPAN = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,6 +72,48 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _tables() -> tuple[np.ndarray, ...]:
+    """Powers of the multiplier and of its inverse, and the numbers of bytes as they are and lower-cased."""
+    inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
+    powers = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SPAN, m, np.uint64))), dtype=np.uint64) for m in (_MULT, inverse)]
+    plain = np.arange(1, 257, dtype=np.uint64)
+    lower = plain.copy()
+    lower[65:91] += np.uint64(32)
+    return (*powers, plain, lower)
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Hash of each word data[start:end], from differences of running sums of its bytes by powers, span by span."""
+    if not _POWERS:
+        _POWERS.extend(_tables())
+    power, inverse, plain, lowered = _POWERS
+    number = lowered if lower else plain
+    out = np.empty(len(start), np.uint64)
+
+    def sums(lo: int, hi: int) -> np.ndarray:
+        value = np.zeros(hi - lo + 1, np.uint64)
+        np.multiply(number[data[lo:hi]], power[: hi - lo], out=value[1:])
+        return np.cumsum(value, out=value)
+
+    i = 0
+    while i < len(start):
+        lo = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, lo + _SPAN, "right")))
+        if end[j - 1] - lo <= _SPAN:
+            total = sums(lo, int(end[j - 1]))
+            out[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * inverse[start[i:j] - lo]
+        else:  # one word longer than a span
+            h = np.zeros(1, np.uint64)
+            for at in range(lo, int(end[i]), _SPAN):
+                h = mix(h * _MULT + sums(at, min(at + _SPAN, int(end[i])))[-1])
+            out[i] = h[0]
+        i = j
+    return mix(out + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of several texts that lie behind each other in one byte buffer.
 
@@ -64,35 +123,19 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False):
         n = len(data)
         if letters:
-            alpha = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
-            inside = alpha
+            inside = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
         else:
             inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
-        before = np.empty(n, bool)
-        after = np.empty(n, bool)
-        if n:
-            before[0], before[1:] = False, inside[:-1]
-            after[-1], after[:-1] = False, inside[1:]
-        self.start = np.flatnonzero(inside & (~before | edge[:n]))
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        apart = edge[1:n] | ~inside[: n - 1] if n else np.zeros(0, bool)
+        begins = inside.copy()
+        begins[1:] &= apart
+        ends = inside.copy()
+        ends[: n - 1] &= edge[1:n] | ~inside[1:] if n else True
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        if not len(self.start):
-            self.hash = np.zeros(0, np.uint64)
-            return
-        length = self.end - self.start
-        total = int(length.sum())
-        base = np.repeat(np.cumsum(length) - length, length)
-        place = np.arange(total) - base
-        value = data[np.repeat(self.start, length) + place].astype(np.uint64)
-        if lower:
-            value = np.where((value >= 65) & (value <= 90), value + np.uint64(32), value)
-        value += np.uint64(1)
-        value *= _POW[place % _BLOCK]
-        if length.max() > _BLOCK:
-            value *= (2 * (place // _BLOCK) + 1).astype(np.uint64)
-        self.hash = mix(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64))
+        self.hash = _word_hashes(data, self.start, self.end, lower)
 
     def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``size`` words from each word on, and whether they lie in one text."""
@@ -113,7 +156,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def slices(texts: pa.Array, most: int = 1 << 21):
+def slices(texts: pa.Array, most: int = 1 << 19):
     """(lo, hi, bytes, offsets) of runs of texts with about ``most`` bytes; a longer text stands alone. Null: empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -22,8 +22,9 @@ from .common import Words, doc_order, materialize, mix, slices, text_key
 
 GROUPS = 64
 LEAF = 16
-#: a shingle counted in at least this share of all texts is ordered last; at most (mean set size / share) shingles can be
-HOT_SHARE = 0.0003
+#: a shingle counted in at least this share of all texts is ordered last, of more than HOT_MOST the most frequent. The order
+#: decides what is compared first, never what is found
+HOT_SHARE, HOT_MOST = 0.0003, 1 << 16
 #: words counted in at least this share of all places weigh in the order; at most (1 / share) words can
 WORD_SHARE = 0.00001
 
@@ -37,12 +38,10 @@ def shingle_sets(words: Words, size: int, weight: np.ndarray | None = None):
     text = words.text_of_word()
     counts = np.diff(words.first)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    extra = np.empty(len(short), np.uint64)
-    for j, i in enumerate(short.tolist()):
-        h = np.uint64(counts[i])
-        for w in words.hash[words.first[i] : words.first[i + 1]]:
-            h = mix(np.array([h]) * np.uint64(0x9E3779B97F4A7C15) + w)[0]
-        extra[j] = h
+    extra = counts[short].astype(np.uint64)
+    for j in range(size - 1):
+        has = counts[short] > j
+        extra[has] = mix(extra[has] * np.uint64(0x9E3779B97F4A7C15) + words.hash[words.first[short[has]] + j])
     value, owner = np.concatenate((grams[good], extra)), np.concatenate((text[good], short))
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
@@ -58,29 +57,43 @@ def shingle_sets(words: Words, size: int, weight: np.ndarray | None = None):
     return value, first, heavy[order]
 
 
-def _often(value: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _often(parts: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values that stand at least ``least`` times, and how often."""
-    known, n = np.unique(value, return_counts=True)
+    known, n = np.unique(np.concatenate(parts), return_counts=True)
     return known[n >= least].view(np.int64), n[n >= least]
 
 
+#: words of successive slices that are counted together
+COUNTED = 1 << 20
+
+
 def _sizes(size: int):
-    """(doc_order, key, text) -> set size per row (kind 0), and shingles (1) and words (2) frequent in a slice with their count there (hash in doc_order); the slice's number of words (3)."""
+    """(doc_order, key, text) -> set size per row (kind 0), shingles (1) and words (2) frequent among some COUNTED words with their count there (hash in doc_order), and the number of these words (3)."""
 
     def rows(kind: int, order, key, n) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), order, key, pa.array(n.astype(np.int64))], names=["kind", "doc_order", "key", "n"])
 
+    def counts(shingles: list[np.ndarray], words: list[np.ndarray]):
+        n = sum(map(len, words))
+        yield rows(3, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), np.array([n]))
+        for kind, found in ((1, _often(shingles, 2)), (2, _often(words, max(2, WORD_SHARE * n)))):
+            if len(found[0]):
+                yield rows(kind, pa.array(found[0]), pa.nulls(len(found[0]), pa.int64()), found[1])
+
     def run(batches):
+        shingles, seen = [], []
         for batch in batches:
             order, key = batch.column("doc_order"), batch.column("key")
-            for lo, hi, data, offsets in slices(batch.column("text"), 1 << 22):
+            for lo, hi, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets, lower=True)
                 value, first = shingle_sets(words, size)
                 yield rows(0, order.slice(lo, hi - lo), key.slice(lo, hi - lo), np.diff(first))
-                yield rows(3, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), np.array([len(words.hash)]))
-                for kind, found in ((1, _often(value, 2)), (2, _often(words.hash, max(2, WORD_SHARE * len(words.hash))))):
-                    if len(found[0]):
-                        yield rows(kind, pa.array(found[0]), pa.nulls(len(found[0]), pa.int64()), found[1])
+                shingles.append(value), seen.append(words.hash)
+                if sum(map(len, seen)) >= COUNTED:
+                    yield from counts(shingles, seen)
+                    shingles, seen = [], []
+        if seen:
+            yield from counts(shingles, seen)
 
     return run
 
@@ -270,10 +283,12 @@ def _bucket_links(size: int, threshold: int):
     return run
 
 
-def components(links: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
-    """(node, component) with the least node of each connected component of links (a, b), by alternating large and small stars."""
-    spark = links.sparkSession
-    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+def components(links: DataFrame, name: str = "components", most: int = 60, drops: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """(node, component) with the least node of each connected component of links (a, b), by alternating large and small stars.
+
+    drops: tables that only ``links`` reads; they are deleted.
+    """
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name, drops)
     before = None
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -281,7 +296,7 @@ def components(links: DataFrame, name: str = "components", most: int = 60) -> Da
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = materialize(small.where("a <> b").distinct(), name)
+        edges = materialize(small.where("a <> b").distinct(), name, (edges,))
         state = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.expr("cast(a as decimal(38,0))"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -330,13 +345,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     total = own.count()
     places = sizes.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def frequent(kind: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        found = sizes.where(F.col("kind") == kind).groupBy("doc_order").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("n", "doc_order").collect()
+    def frequent(kind: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        found = sizes.where(F.col("kind") == kind).groupBy("doc_order").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "doc_order").limit(most).collect()[::-1]
         return np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
 
-    last, _ = frequent(1, max(8, HOT_SHARE * total))
+    last, _ = frequent(1, max(8, HOT_SHARE * total), HOT_MOST)
     least = max(8, WORD_SHARE * places)
-    weigh = _weights(*frequent(2, least), least)
+    weigh = _weights(*frequent(2, least, int(1 / WORD_SHARE)), least)
 
     posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last, weigh), "shingle long, key long, size int, at int").repartition("shingle").dropDuplicates(["shingle", "key"])
     # the texts of a shingle fall apart where sizes, in order, differ too much to link; most are alone then and end here
@@ -345,11 +360,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     posts = posts.withColumn("chain", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("shingle", "chain"))).where("n >= 2")
     posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size", "at"), "posts")
-    posts = materialize(_able(posts, threshold), "posts")
+    posts = materialize(_able(posts, threshold), "posts", (posts,))
     # a shingle whose texts all share another one, the first of each, adds no pair
     best = posts.groupBy("key").agg(F.min(F.struct("at", "token")).getField("token").alias("best"))
     useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi"), F.count("*").alias("n")).where("n >= 2 and (lo <> hi or lo = token)").select("token", F.lit(True).alias("useful"))
-    posts = materialize(posts.join(useful, "token", "left").withColumn("useful", F.coalesce("useful", F.lit(False))), "posts")
+    posts = stored = materialize(posts.join(useful, "token", "left").withColumn("useful", F.coalesce("useful", F.lit(False))), "posts", (posts,))
     prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "token", "useful"))).alias("p"))
     prefixes = prefixes.select("key", "size", F.col("p.token").alias("tokens"), F.col("p.at").alias("places"), F.col("p.useful").alias("useful"))
     posts = posts.where("useful").select("token", "key", "n")
@@ -366,7 +381,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
         return with_text.select("bucket", "token", "leader", "key", "text").groupBy("bucket").applyInArrow(_bucket_links(size, threshold), schema)
 
     has_hot = posts.where(F.col("n") > hot).limit(1).count() > 0
-    links = materialize(linked(normal.unionByName(led.drop("part")) if has_hot else normal), "links")
+    links = found = materialize(linked(normal.unionByName(led.drop("part")) if has_hot else normal), "links")
     if has_hot:
         # texts that their bucket could not connect with the leader are compared with all texts of the shingle
         alone = links.where("b is null").select("token", F.col("a").alias("key")).distinct()
@@ -381,7 +396,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     # a repeated doc_id with several texts joins their classes
     several = own.where("n > 0").groupBy("doc_order").agg(F.countDistinct("key").alias("k")).where("k > 1").select("doc_order")
     tied = own.where("n > 0").join(several, "doc_order", "left_semi").join(reps.select("key", "rep"), "key").select(F.col("doc_order").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(tied))
+    found = components(links.unionByName(tied), drops=(stored, found))
     named = own.join(reps.select("key", "rep"), "key").join(found, F.col("rep") == F.col("node"), "left").select("doc_order", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_order")).alias("component"))
     named = named.dropDuplicates(["doc_order", "key"])
     out = rows.select("doc_id", "doc_order", "key").join(named, ["doc_order", "key"], "left")
