@@ -10,8 +10,11 @@ GROUP = 4096
 
 
 def coded(records: DataFrame, record: str, text: str, code) -> DataFrame:
-    """(record_ix, codes) with a code digit or N for each character; null texts are empty."""
-    return records.select(F.col(record).cast("long").alias("record_ix"), code(F.coalesce(F.col(text), F.lit(""))).alias("codes"))
+    """(record_ix, codes) with a code digit or N for each character; null texts are empty.
+
+    Records without a number are left out; numbers must be distinct.
+    """
+    return records.where(F.col(record).isNotNull()).select(F.col(record).cast("long").alias("record_ix"), code(F.coalesce(F.col(text), F.lit(""))).alias("codes"))
 
 
 def running_total(rows: DataFrame, size: Column) -> DataFrame:
@@ -47,6 +50,19 @@ def record_summary(codes: DataFrame) -> DataFrame:
     return codes.select("record_ix", total.alias("total"), coding.alias("coding"), (total - coding).alias("n_count"), F.size(F.regexp_extract_all("codes", F.lit("[0-3]+"), F.lit(0))).cast("long").alias("contigs"))
 
 
+def record_report(codes: DataFrame, marks: DataFrame, postings: DataFrame) -> DataFrame:
+    """(record_ix, total, coding, complex, repetitive, n_count and the last three in percent) of each record.
+
+    repetitive: marks that no posting keeps, because they repeat; complex: coding bases less these. Percentages are of all
+    characters, to two places, null for an empty record.
+    """
+    kept = postings.select("kmer", "pos", "ori")
+    gone = marks.select("record_ix", "kmer", "pos", "ori").join(kept, ["kmer", "pos", "ori"], "left_anti").groupBy("record_ix").agg(F.count("*").alias("repetitive"))
+    rows = record_summary(codes).join(gone, "record_ix", "left").withColumn("repetitive", F.coalesce("repetitive", F.lit(0)).cast("long")).withColumn("complex", F.col("coding") - F.col("repetitive"))
+    share = lambda c: F.when(F.col("total") > 0, F.round(F.col(c) * 100.0 / F.col("total"), 2))
+    return rows.select("record_ix", "total", "coding", "complex", "repetitive", "n_count", *(share(c).alias(f"{c}_pct") for c in ("complex", "repetitive", "n_count")))
+
+
 def composition(codes: DataFrame) -> DataFrame:
     """(record_ix, a, c, t, g, other): characters of each code in each record."""
     count = lambda d: (F.length("codes") - F.length(F.translate("codes", d, ""))).cast("long")
@@ -69,8 +85,35 @@ def kmer_interval(located: DataFrame, read_len: int, window: int) -> DataFrame:
     return located.withColumn("lo", F.greatest("twobit", F.col("pos") - read_len)).withColumn("hi", F.least(end, F.col("pos") + window))
 
 
-def range_scan(ranges: DataFrame, found: DataFrame) -> DataFrame:
-    """ranges (record_ix, contig_ix, lo, hi) with the code digits of the coded bases lo+1 .. hi; lo >= hi gives none."""
-    return ranges.where("lo < hi").join(found.select("record_ix", "contig_ix", F.col("twobit").alias("_start"), F.col("digits").alias("_digits")), ["record_ix", "contig_ix"]).withColumn(
-        "bases", F.expr("substring(_digits, int(lo - _start + 1), int(hi - lo))")
-    ).drop("_start", "_digits")
+def base_chunks(found: DataFrame, size: int = 4096, overlap: int = 256) -> DataFrame:
+    """(bin, record_ix, contig_ix, start, digits): the coded bases of contigs in chunks that end at multiples of ``size`` among all coded bases.
+
+    digits holds the bases after ``start`` up to the end of the bin, and up to ``overlap`` more, so that a short range lies
+    whole in the chunk where it begins.
+    """
+    head = F.lit(size) - F.col("twobit") % size
+    parts = F.concat(F.array(F.expr(f"substring(digits, 1, int({size} - twobit % {size}))")), F.regexp_extract_all(F.expr(f"substring(digits, int({size} - twobit % {size}) + 1)"), F.lit(f"[0-3]{{1,{size}}}"), F.lit(0)))
+    rows = found.select("record_ix", "contig_ix", "twobit", head.alias("head"), parts.alias("parts"))
+    more = -(-overlap // size)
+    whole = lambda p, i: F.concat(p, F.left(F.concat(F.lit(""), *(F.coalesce(F.get("parts", i + d), F.lit("")) for d in range(1, more + 1))), F.lit(overlap)))
+    rows = rows.select("record_ix", "contig_ix", "twobit", "head", F.posexplode(F.transform("parts", whole)).alias("i", "digits"))
+    start = F.when(F.col("i") == 0, F.col("twobit")).otherwise(F.col("twobit") + F.col("head") + (F.col("i") - 1) * size)
+    return rows.select(F.floor(start / size).alias("bin"), "record_ix", "contig_ix", start.alias("start"), "digits")
+
+
+def range_scan(ranges: DataFrame, found: DataFrame, size: int = 4096, overlap: int = 256, chunked: bool = False) -> DataFrame:
+    """ranges (record_ix, contig_ix, lo, hi, ...) with the code digits of the coded bases lo+1 .. hi; lo >= hi gives none.
+
+    A range is joined with the chunk where it begins, or if longer than ``overlap`` with each chunk that it covers.
+    found: contigs, or with ``chunked`` what ``base_chunks`` made of them with the same size and overlap.
+    """
+    chunks = (found if chunked else base_chunks(found, size, overlap)).select("bin", "record_ix", "contig_ix", F.col("start").alias("_start"), F.col("digits").alias("_digits"))
+    names = ranges.columns
+    keys = ["record_ix", "contig_ix", "bin"]
+    short = ranges.where(F.col("hi") - F.col("lo") <= overlap).where("lo < hi").withColumn("bin", F.floor(F.col("lo") / size)).join(chunks, keys)
+    short = short.select(*names, F.expr("substring(_digits, int(lo - _start + 1), int(hi - lo))").alias("bases"))
+    long = ranges.where(F.col("hi") - F.col("lo") > overlap).withColumn("bin", F.explode(F.expr(f"sequence(cast(floor(lo / {size}) as bigint), cast(floor((hi - 1) / {size}) as bigint))"))).join(chunks, keys)
+    long = long.withColumn("_part", F.expr(f"substring(_digits, int(greatest(lo - _start, 0) + 1), int(least(hi, (bin + 1) * {size}) - greatest(lo, _start)))"))
+    long = long.groupBy(*names).agg(F.array_sort(F.collect_set(F.struct("bin", "_part"))).alias("_parts"), F.count("*").alias("_n"))
+    again = F.explode(F.expr("array_repeat(array_join(_parts._part, ''), int(_n / size(_parts)))"))  # equal ranges met in one group
+    return short.unionByName(long.select(*names, again.alias("bases")))

@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kmer
 
-#: bases per chunk: long contigs are cut, with the bases before a chunk that its windows need
-CHUNK = 1 << 14
+#: bases of a chunk whose medians are found at once, and of a chunk whose k-mers are read
+CHUNK, SHORT_CHUNK = 1 << 14, 1 << 10
+#: k-mers that are cut out of one number
+BLOCK = 16
 
 
-def kmers(found: DataFrame, k: int, halo: int = 0, chunk: int = CHUNK) -> DataFrame:
+def chunks(found: DataFrame, size: int, halo: int) -> DataFrame:
+    """(record_ix, contig_ix, twobit, chunk, before, part): digits of contigs in chunks, each behind the last ``before`` (up to ``halo``) bases ahead of it.
+
+    A contig is cut in one pass, whatever its length, and the chunks are dealt out while a base is one character.
+    """
+    parts = F.regexp_extract_all("digits", F.lit(f"[0-3]{{1,{size}}}"), F.lit(0))
+    rows = found.select("record_ix", "contig_ix", "twobit", parts.alias("parts"))
+    ahead = -(-halo // size)
+
+    def whole(p: Column, i: Column) -> Column:
+        tail = F.concat(*(F.coalesce(F.get("parts", i - d), F.lit("")) for d in range(ahead, 0, -1))) if ahead else F.lit("")
+        tail = F.right(tail, F.lit(halo)) if halo else F.lit("")
+        return F.struct(F.length(tail).alias("before"), F.concat(tail, p).alias("part"))
+
+    rows = rows.select("record_ix", "contig_ix", "twobit", F.posexplode(F.transform("parts", whole)).alias("chunk", "p"))
+    # the number of partitions is kept however small the digits are: what is made of them is larger
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("record_ix", "contig_ix", "twobit", F.col("chunk").cast("long").alias("chunk"), "p.before", "p.part").repartition(n, "record_ix", "contig_ix", "chunk")
+
+
+def kmers(found: DataFrame, k: int, chunk: int = SHORT_CHUNK) -> DataFrame:
     """(record_ix, contig_ix, chunk, o, pos, dna, rc): k-mers of both strands that end at each base; o counts in the contig, pos among all bases.
 
-    With ``halo``, a chunk repeats the k-mers of its last ``halo`` bases before its start.
+    Blocks of digits become two numbers, oldest base highest and lowest; k-mers are bit ranges of these. k is at most 16.
     """
-    rows = found.where(F.col("length") >= k).select("record_ix", "contig_ix", "twobit", "length", "digits", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / chunk))).alias("chunk"))
-    first = F.greatest(F.col("chunk") * chunk + 1 - halo, F.lit(k))
-    last = F.least((F.col("chunk") + 1) * chunk, F.col("length"))
-    rows = rows.select("record_ix", "contig_ix", "twobit", "chunk", first.cast("long").alias("first"), last.cast("long").alias("last"), "digits").where("first <= last")
-    rows = rows.withColumn("part", F.expr(f"substring(digits, int(first - {k} + 1), int(last - first + {k}))")).drop("digits")
-    # dealt while a base is one character; what the windows need stays in place, and the number is kept however small the data
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "record_ix", "contig_ix", "chunk").select("*", F.explode(F.sequence("first", "last")).alias("o"))
-    sub = F.expr(f"substring(part, int(o - first + 1), {k})")
-    rows = rows.select("record_ix", "contig_ix", "chunk", "o", (F.col("twobit") + F.col("o")).alias("pos"), sub.alias("sub"))
-    return rows.select("record_ix", "contig_ix", "chunk", "o", "pos", kmer.template(F.col("sub")).alias("dna"), kmer.reverse(F.col("sub")).alias("rc"))
+    rows = chunks(found.where(F.col("length") >= k), chunk, k - 1).where(F.length("part") >= k)
+    blocks = F.expr(f"transform(sequence(0, int((length(part) - {k}) / {BLOCK})), i -> struct(i as block, substring(part, i * {BLOCK} + 1, {BLOCK + k - 1}) as digits))")
+    rows = rows.select("record_ix", "contig_ix", "chunk", (F.col("chunk") * chunk - F.col("before")).alias("first"), "twobit", F.explode(blocks).alias("b"))
+    number = lambda digits: F.conv(digits, 4, 10).cast("long")
+    rows = rows.select("record_ix", "contig_ix", "chunk", "twobit", (F.col("first") + F.col("b.block") * BLOCK).alias("first"), F.length("b.digits").alias("n"), number(F.col("b.digits")).alias("high"), number(F.reverse("b.digits")).alias("low"))
+    rows = rows.select("*", F.explode(F.expr(f"sequence(0, n - {k})")).alias("t"))
+    mask = (1 << (2 * k)) - 1
+    o = F.col("first") + F.col("t") + k
+    dna = F.expr(f"shiftright(low, 2 * t) & {mask}L")
+    rc = F.expr(f"(shiftright(high, 2 * (n - {k} - t)) & {mask}L) ^ {int('2' * k, 4)}L")
+    return rows.select("record_ix", "contig_ix", "chunk", o.cast("long").alias("o"), (F.col("twobit") + o).cast("long").alias("pos"), dna.alias("dna"), rc.alias("rc"))
 
 
 def candidates(rows: DataFrame, k: int, window: int, seed: int) -> DataFrame:
@@ -36,26 +60,77 @@ def candidates(rows: DataFrame, k: int, window: int, seed: int) -> DataFrame:
     return rows.withColumn("pair", F.array(one("dna", 0), one("rc", 1)))
 
 
+def _hash(v: np.ndarray, seed: int, k: int) -> np.ndarray:
+    """``kmer.xmer_hash`` on arrays."""
+    mask = (1 << k) - 1
+    s, high, low = seed & mask, v >> k, v & mask
+    return (high ^ (low & (mask ^ s))) << k | (low ^ (high & s))
+
+
+def _medians(k: int, read_len: int, seed: int, chunk: int, most: int = 1 << 16):
+    """Chunks with the bases before them -> marks. The chunks of a batch lie behind each other, and windows that span two are left out."""
+    window = read_len + 1 - k
+    width = 2 * window
+
+    def found(digits: np.ndarray, first: np.ndarray, before: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, o, ori, k-mer) of the medians of the windows of some rows; first: where each row's digits begin."""
+        n = len(digits) - k + 1
+        if n < window:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        dna, rc = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for j in range(k):
+            base = digits[j : j + n].astype(np.int64)
+            dna |= base << (2 * j)
+            rc |= (base ^ 2) << (2 * (k - 1 - j))
+        # a k-mer stands where its first base is; o is its last base's place in the contig
+        row = np.searchsorted(first, np.arange(n), "right") - 1
+        o = np.arange(n) - first[row] + number[row] * chunk - before[row] + k
+        ring = (o - k) % window
+        # one number orders a candidate, by hash and place in the ring, and gives back its place, strand and (the hash being its own inverse) k-mer
+        code = np.stack([_hash(dna, seed, k) * width + ring * 2, _hash(rc, seed, k) * width + ring * 2 + 1], 1).ravel()
+        end = np.arange(window - 1, n)
+        end = end[(row[end - window + 1] == np.searchsorted(first, end + k - 1, "right") - 1) & (o[end] >= read_len)]
+        views = np.lib.stride_tricks.sliding_window_view(code, width)[::2]
+        middle = np.empty(len(end), np.int64)
+        for lo in range(0, len(end), 4096):
+            at = end[lo : lo + 4096]
+            middle[lo : lo + 4096] = np.partition(views[at - window + 1], window, axis=1)[:, window]
+        s = middle % width
+        at = end - (ring[end] - s // 2) % window
+        # each mark once, by the first of its windows, in the chunk where that one ends
+        _, once = np.unique(at * 2 + s % 2, return_index=True)
+        once = once[o[end[once]] > number[row[end[once]]] * chunk]
+        at, s, middle = at[once], s[once], middle[once]
+        return row[at], o[at], s % 2, _hash(middle // width, seed, k)
+
+    def run(batches):
+        for batch in batches:
+            part = batch.column("part").cast(pa.large_string())
+            if not len(part):
+                continue
+            offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            data = np.frombuffer(part.buffers()[2], np.uint8) - 48
+            before, number, twobit = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("before", "chunk", "twobit"))
+            lo = 0
+            while lo < len(part):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+                row, o, ori, value = found(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], before[lo:hi], number[lo:hi])
+                take = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([batch.column("record_ix").take(take), batch.column("contig_ix").take(take), pa.array(twobit[row + lo] + o), pa.array(ori.astype(np.int32)), pa.array(value)], names=["record_ix", "contig_ix", "pos", "ori", "kmer"])
+                lo = hi
+
+    return run
+
+
 def median_marks(found: DataFrame, k: int, read_len: int, seed: int, chunk: int = CHUNK) -> DataFrame:
     """(record_ix, contig_ix, pos, ori, kmer): candidates that are the upper median, by hash, of some window of read_len bases.
 
     Both strands of the last read_len + 1 - k positions make a window; equal hashes go by their place in a ring of the
-    window's width. Windows are independent, so long contigs are worked in chunks with a halo.
+    window's width. Windows are independent, so contigs are worked in chunks behind the bases that their windows need.
     """
-    window = read_len + 1 - k
-    width = F.lit(2 * window).cast("long")
-    ring = F.pmod(F.col("o") - k, F.lit(window))
-    # one number orders a candidate, by hash and place in the ring, and gives back its place, strand and (the hash being
-    # its own inverse) k-mer, so that windows hold and sort plain numbers
-    code = lambda col, ori: kmer.xmer_hash(F.col(col), seed, k) * width + ring * 2 + ori
-    rows = kmers(found, k, halo=window - 1, chunk=chunk).select("record_ix", "contig_ix", "chunk", "o", "pos", F.array(code("dna", 0), code("rc", 1)).alias("pair"))
-    frame = Window.partitionBy("record_ix", "contig_ix", "chunk").orderBy("o").rowsBetween(-(window - 1), 0)
-    middle = F.element_at(F.sort_array(F.flatten("held")), window + 1)
-    rows = rows.withColumn("held", F.collect_list("pair").over(frame)).where((F.col("o") >= read_len) & (F.size("held") == window))
-    rows = rows.withColumn("m", middle).withColumn("s", F.col("m") % width)
-    back = F.pmod(ring - F.floor(F.col("s") / 2), F.lit(window))
-    value = kmer.xmer_hash(F.floor(F.col("m") / width), seed, k)
-    return rows.select("record_ix", "contig_ix", (F.col("pos") - back).alias("pos"), (F.col("s") % 2).cast("int").alias("ori"), value.alias("kmer")).distinct()
+    rows = chunks(found.where(F.col("length") >= read_len), chunk, 2 * (read_len - k) + k - 1)
+    contig = dict(found.dtypes)["contig_ix"]
+    return rows.mapInArrow(_medians(k, read_len, seed, chunk), f"record_ix long, contig_ix {contig}, pos long, ori int, kmer long")
 
 
 def without_recurrence(marks: DataFrame, max_dist: int, bits: int | None = None) -> DataFrame:

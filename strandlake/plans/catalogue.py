@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kmer
 from ..operators import contigs, mapping, marks, slots
 from ..sources import fastx
+from .tables import shared_path
 
 #: window queries: k, read_len, seed, max_dist; mapping queries likewise
 SMALL, LARGE = (4, 6, 5, 100), (12, 32, 5, 1000)
@@ -141,11 +142,11 @@ def pack_unpack_location(spark, sf_dir):
 
 
 def slot_table(spark, sf_dir):
-    return slots.place(_postings(spark, sf_dir), LARGE[0])[0]
+    return slots.settle(_postings(spark, sf_dir), LARGE[0])[0]
 
 
 def slot_overflow(spark, sf_dir):
-    return slots.place(_postings(spark, sf_dir), LARGE[0])[1]
+    return slots.settle(_postings(spark, sf_dir), LARGE[0])[1]
 
 
 def slot_stats(spark, sf_dir):
@@ -184,10 +185,54 @@ def reconstruct_check(spark, sf_dir):
     return rows.groupBy("agrees").agg(F.count("*").alias("n"))
 
 
-def _scratch(spark, name: str) -> str:
-    import uuid
+def record_report(spark, sf_dir):
+    found = _marks(spark, sf_dir, LARGE)
+    return contigs.record_report(_codes(spark, sf_dir), found, marks.postings(found, LARGE[3]))
+
+
+def index_counts(spark, sf_dir):
+    """Final counts: contigs, and positions that stand for repeats."""
+    repeat = marks.repeats(_marks(spark, sf_dir, LARGE), LARGE[3])
+    parts = {"contigs": _contigs(spark, sf_dir), "repeats": repeat}
+    a, b = (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in parts.items())
+    return a.unionByName(b)
+
+
+def base_functions(spark, sf_dir):
+    """Letters of each k-mer's last base and of its complement."""
+    last = F.shiftright(F.col("kmer"), 14)
+    return _distinct_kmers(spark, sf_dir).select("kmer", kmer.decode(last.cast("int")).alias("base"), kmer.decode(kmer.complement(last).cast("int")).alias("complement"))
+
 
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/strandlake-{name}-{uuid.uuid4().hex}"
+def xmer_location(spark, sf_dir):
+    """Order index of a k-mer, and its slot and location with extension 2."""
+    rows = marks.kmers(_contigs(spark, sf_dir, table="benchmark", record="item_id"), LARGE[0])
+    at, location = kmer.located(F.col("dna"), F.col("rc"), F.col("pos"), 2, LARGE[0])
+    return rows.select("pos", kmer.base_index(F.col("dna"), F.col("rc"), LARGE[2], LARGE[0]).alias("base_index"), at.alias("slot"), location.alias("location"))
+
+
+def location_functions(spark, sf_dir):
+    """What changes in a packed location, and what is read from it."""
+    p = F.col("packed")
+    rows = _postings(spark, sf_dir).withColumn("packed", kmer.pack(*(F.col(c) for c in ("ext", "repetitive", "dup", "pos", "ori"))))
+    return rows.select(
+        "packed", kmer.with_dup(p).alias("dup_set"), kmer.with_dup(p, False).alias("dup_unset"), kmer.with_repetitive(p).alias("repetitive_set"), kmer.with_strand(p, True).alias("reverse"), kmer.other_strand(p).alias("other"),
+        kmer.without_flags(p).alias("plain"), kmer.with_extension(p, 0).alias("cleared"), kmer.extended(p).alias("extended"), kmer.moved(p, 3).alias("moved"), kmer.blacklisted(p).alias("blacklisted"),
+        kmer.same_pos_and_ext(p, kmer.other_strand(p)).alias("same"), kmer.same_pos_and_ext(p, kmer.moved(p, 1)).alias("same_moved"), kmer.scope_index(F.col("pos"), F.col("ori"), 1024).alias("scope"), kmer.byte_shift(F.col("pos")).alias("bits"),
+    )
+
+
+def posting_distances(spark, sf_dir):
+    """Of successive postings of a k-mer: the distance if it is a multiple of 7, and if both lie in the later one's contig, closer than 5000."""
+    at = contigs.pos_to_contig(_postings(spark, sf_dir).select("kmer", "pos", "ori"), _contigs(spark, sf_dir).drop("digits"))
+    before = F.lag("pos").over(Window.partitionBy("kmer").orderBy("pos", "ori"))
+    rows = at.withColumn("stored", before).where("stored is not null")
+    stored, pos = F.col("stored"), F.col("pos")
+    return rows.select("kmer", "pos", "stored", kmer.on_period(stored, pos, F.lit(7)).alias("on_period"), kmer.repeat_distance(stored, pos, F.col("twobit"), 5000).alias("repeat_distance"))
+
+
+def _scratch(spark, name: str) -> str:
+    return shared_path(spark, name)
 
 
 def fasta_roundtrip(spark, sf_dir):
@@ -204,12 +249,23 @@ def fastq_roundtrip(spark, sf_dir):
     return fastx.read_fastq(spark, path)
 
 
+def read_pairs(spark, sf_dir):
+    """Reads and their mates from two FASTQ files in step."""
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_ix"), F.concat(F.lit("r"), "item_id").alias("name"), F.regexp_replace(F.col("text"), "[^A-Za-z]", "").alias("seq"))
+    paths = []
+    for mate in (F.col("seq"), F.reverse("seq")):
+        paths.append(_scratch(spark, "mate"))
+        fastx.write_fastq(rows.select("read_ix", "name", mate.alias("seq"), F.upper(mate).alias("qual")), paths[-1])
+    return fastx.read_pairs(spark, *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__ if f is not contig_table else "contigs": f
     for f in (
         base_composition, base_encode_nibble, contig_table, contig_lengths, contig_terminals, record_summary, kmers_canonical, kmer_spectrum, xmer_hash, extend_slot, xmer_unhash, pack_unpack_location,
         window_candidates, median_marks, marks_per_record, recurrence_filter, multimap_chain, repetitive_kept, repeat_period_top20, slot_route_histogram, slot_table, slot_overflow, slot_stats, pos_to_contig,
-        kmer_interval, base_range_scan, map_reads, map_summary, reconstruct_check, fasta_roundtrip, fastq_roundtrip,
+        kmer_interval, base_range_scan, map_reads, map_summary, reconstruct_check, fasta_roundtrip, fastq_roundtrip, read_pairs,
+        record_report, index_counts, base_functions, xmer_location, location_functions, posting_distances,
     )
 } | {"postings": posting_lists}
 
@@ -311,6 +367,45 @@ _PLAIN = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
 _READS = _marks_sql(LARGE, "benchmark", "item_id", "r") + ", rf AS (SELECT r, min(pos) - 1 AS f FROM bsr GROUP BY r), rm AS (SELECT mkr.r AS read_ix, mkr.pos - rf.f AS read_pos, mkr.ori AS read_ori, mkr.kmer FROM mkr JOIN rf USING (r))"
 _HITS = f"{_POST},{_READS}, hi AS (SELECT read_ix, read_pos, read_ori, rm.kmer, ext, pos, ori, dup FROM rm JOIN pl ON pl.kmer = rm.kmer)"
 
+
+
+def _settle_sql(k: int) -> str:
+    """Rounds of claims until none is turned away: each row's extension number j goes on by m, the number of rows of its k-mer."""
+    ones = (1 << k) - 1
+    ext = " + ".join(f"(CASE WHEN (z >> {i}) & 1 = 1 THEN ((j >> CAST(bit_count(z & {(1 << i) - 1}) AS BIGINT)) & 1) << {i} ELSE 0 END)" for i in range(k))
+    slot = _fold_sql(_hash_sql("kmer", "e", k), k)
+    return f"""{_POST},
+sz AS (SELECT kmer, ext AS number, pos, ori, dup, repetitive, CAST(count(*) OVER (PARTITION BY kmer) AS BIGINT) AS m, CAST(ext AS BIGINT) AS j, (kmer >> {k} | kmer) & {ones} AS z FROM pl),
+sd AS (SELECT *, CASE WHEN kmer = {(1 << 2 * k) - 1} THEN {1 << (k - 1)} ELSE CAST(1 AS BIGINT) << CAST(bit_count(z) AS BIGINT) END AS d FROM sz),
+rc AS (
+  SELECT kmer, number, pos, ori, dup, repetitive, m, j, z, d, TRUE AS busy, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS slot FROM sd
+  UNION ALL
+  SELECT kmer, number, pos, ori, dup, repetitive, m, CASE WHEN lost THEN j + m ELSE j END, z, d, bool_or(lost) OVER (), e, slot FROM (
+    SELECT *, slot IS NOT NULL AND row_number() OVER (PARTITION BY slot ORDER BY e DESC, pos, ori, kmer) > 1 AS lost FROM (
+      SELECT kmer, number, pos, ori, dup, repetitive, m, j, z, d, e, CASE WHEN j < d THEN {slot} END AS slot FROM (
+        SELECT kmer, number, pos, ori, dup, repetitive, m, j, z, d, CAST({ext} AS BIGINT) AS e FROM rc WHERE busy))))"""
+
+
+_SETTLED = _settle_sql(_K)
+_USED = "SELECT slot, kmer, CAST(e AS INTEGER) AS ext, pos, ori, dup, repetitive FROM rc WHERE NOT busy AND slot IS NOT NULL"
+_TOTAL = 1 << (2 * _K - 1)
+
+
+def _packed_sql() -> str:
+    flags = (1 << 46) | (1 << 47)
+    low = (1 << 48) - 1
+    fields = ((1 << 44) - 1) << 1
+    after = "CASE WHEN ext < 65535 THEN (p & {low}) | (CAST(ext + 1 AS BIGINT) << 48) END".replace("{low}", str(low))
+    return (
+        f"{_POST}, pk AS (SELECT *, (CAST(ext AS BIGINT) << 48) | (CAST(repetitive AS BIGINT) << 47) | (CAST(dup AS BIGINT) << 46) | (pos << 1) | ori AS p FROM pl) "
+        f"SELECT p AS packed, p | {1 << 46} AS dup_set, p & ~{1 << 46} AS dup_unset, p | {1 << 47} AS repetitive_set, p | 1 AS reverse, xor(p, 1) AS other, p & ~{flags} AS plain, p & {low} AS cleared, {after} AS extended, p + 6 AS moved, "
+        f"CASE WHEN ext < 65535 THEN CAST(ext + 1 AS BIGINT) << 48 END AS blacklisted, (xor(p, xor(p, 1)) & {fields}) = 0 AS same, (xor(p, p + 2) & {fields}) = 0 AS same_moved, ((pos << 1) | ori) & 1023 AS scope, CAST((pos & 3) * 2 AS INTEGER) AS bits FROM pk"
+    )
+
+
+_LOCATED = f"{_POST}, {_contig_sql().lstrip()}, lo AS (SELECT pl.kmer, pl.pos, pl.ori, ct.twobit FROM pl JOIN ct ON pl.pos > ct.twobit AND pl.pos <= ct.twobit + ct.length)"
+_CANONICAL = "CASE WHEN dna < rc OR (dna = rc AND dna & 1 = 1) THEN dna ELSE rc END"
+
 ORACLE_SQL: dict[str, str] = {
     "base_composition": _composition_sql(_STRICT),
     "base_encode_nibble": _composition_sql(_NIBBLE),
@@ -338,7 +433,17 @@ ORACLE_SQL: dict[str, str] = {
     "base_range_scan": f"{_with(_marks_sql(LARGE))}, x AS (SELECT mk.pos, mk.ori, string_agg(CAST(bs.b AS VARCHAR), '' ORDER BY bs.pos) AS bases FROM mk JOIN range({_K}) t(d) ON TRUE JOIN bs ON bs.pos = mk.pos - d GROUP BY mk.pos, mk.ori) SELECT pos, ori, bases FROM x",
     "map_reads": f"{_HITS} SELECT * FROM hi",
     "map_summary": f"{_HITS}, a AS (SELECT read_ix, count(*) AS marks FROM rm GROUP BY read_ix), z AS (SELECT read_ix, count(*) AS hits FROM hi GROUP BY read_ix) SELECT item_id AS read_ix, coalesce(marks, 0) AS marks, coalesce(hits, 0) AS hits, CASE WHEN hits > 0 THEN 'mapped' WHEN marks > 0 THEN 'unmapped' ELSE 'short' END AS status FROM benchmark LEFT JOIN a ON a.read_ix = item_id LEFT JOIN z ON z.read_ix = item_id",
-    "reconstruct_check": f"{_POST} SELECT TRUE AS agrees, count(*) AS n FROM pl",
+    "reconstruct_check": f"{_POST}, ag AS (SELECT pl.kmer, pl.pos, pl.ori, CASE WHEN pl.ori = 0 THEN sum(bs.b << CAST(2 * ({_K} - 1 - d) AS BIGINT)) ELSE sum(xor(bs.b, 2) << CAST(2 * d AS BIGINT)) END AS again FROM pl JOIN range({_K}) t(d) ON TRUE JOIN bs ON bs.pos = pl.pos - d GROUP BY pl.kmer, pl.pos, pl.ori) SELECT again = kmer AS agrees, count(*) AS n FROM ag GROUP BY 1",
     "fasta_roundtrip": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS record_ix, 'r' || item_id AS name, 'of prose' AS description, {_PLAIN} AS seq FROM benchmark",
     "fastq_roundtrip": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS read_ix, 'r' || item_id AS name, {_PLAIN} AS seq, translate({_PLAIN}, 'abc', '@+@') AS qual FROM benchmark",
+    "slot_table": f"{_SETTLED} {_USED}",
+    "slot_overflow": f"{_SETTLED} SELECT kmer, number AS ext, pos, ori, dup, repetitive FROM rc WHERE NOT busy AND slot IS NULL",
+    "slot_stats": f"{_SETTLED}, us AS ({_USED}), al AS (SELECT ext, count(*) AS n FROM us GROUP BY ext UNION ALL SELECT NULL, {_TOTAL} - count(*) FROM us) SELECT ext, n, round(CAST(n AS DOUBLE) * 100 / {_TOTAL}, 4) AS share FROM al",
+    "read_pairs": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS read_ix, 'r' || item_id AS name, {_PLAIN} AS seq, upper({_PLAIN}) AS qual, reverse({_PLAIN}) AS mate_seq, upper(reverse({_PLAIN})) AS mate_qual FROM benchmark",
+    "record_report": f"{_POST}, rp AS (SELECT mk.r, count(*) AS x FROM mk WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.kmer = mk.kmer AND pl.pos = mk.pos AND pl.ori = mk.ori) GROUP BY mk.r), n AS (SELECT r, count(*) AS c FROM bs GROUP BY r), z AS (SELECT doc_id AS record_ix, CAST(length(text) AS BIGINT) AS total, coalesce(c, 0) AS coding, coalesce(c, 0) - coalesce(x, 0) AS complex, coalesce(x, 0) AS repetitive, CAST(length(text) AS BIGINT) - coalesce(c, 0) AS n_count FROM documents LEFT JOIN n ON n.r = doc_id LEFT JOIN rp ON rp.r = doc_id) SELECT *, CASE WHEN total > 0 THEN round(CAST(complex AS DOUBLE) * 100 / total, 2) END AS complex_pct, CASE WHEN total > 0 THEN round(CAST(repetitive AS DOUBLE) * 100 / total, 2) END AS repetitive_pct, CASE WHEN total > 0 THEN round(CAST(n_count AS DOUBLE) * 100 / total, 2) END AS n_count_pct FROM z",
+    "index_counts": f"{_POST}, {_contig_sql().lstrip()} SELECT 'contigs' AS what, count(*) AS n FROM ct UNION ALL SELECT 'repeats', count(*) FROM (SELECT DISTINCT kmer, anchor FROM dr)",
+    "base_functions": f"{_DIRECT8} SELECT kmer, substr('ACTG', CAST(kmer >> 14 AS INTEGER) + 1, 1) AS base, substr('TGAC', CAST(kmer >> 14 AS INTEGER) + 1, 1) AS complement FROM dk",
+    "xmer_location": f"{_with(_bases(table='benchmark', record='item_id'), _kmer_sql(_K))}, ca AS (SELECT pos, CAST({_CANONICAL} AS BIGINT) AS c FROM (SELECT pos, CAST(dna AS BIGINT) AS dna, CAST(rc AS BIGINT) AS rc FROM km)) SELECT pos, {_fold_sql(_hash_sql('c', str(LARGE[2]), _K), _K)} AS base_index, {_fold_sql(_hash_sql('c', '2', _K), _K)} AS slot, (CAST(2 AS BIGINT) << 48) | (pos << 1) AS location FROM ca",
+    "location_functions": _packed_sql(),
+    "posting_distances": f"{_LOCATED}, lg AS (SELECT *, lag(pos) OVER (PARTITION BY kmer ORDER BY pos, ori) AS stored FROM lo) SELECT kmer, pos, stored, CASE WHEN (pos - stored) % 7 = 0 THEN pos - stored END AS on_period, CASE WHEN stored > twobit AND pos - stored < 5000 THEN pos - stored END AS repeat_distance FROM lg WHERE stored IS NOT NULL",
 }
