@@ -142,37 +142,83 @@ def without_recurrence(marks: DataFrame, max_dist: int, bits: int | None = None)
     return rows.where(~F.coalesce(again, F.lit(False))).drop("_key", "_one", "_two")
 
 
-def thinned(marks: DataFrame, max_dist: int) -> DataFrame:
-    """(kmer, pos, ori, kept, anchor): in order of pos, an occurrence is kept unless within ``max_dist`` of the last kept one, its anchor.
+def _chains(max_dist: int):
+    """Occurrences sorted by (kmer, pos, ori) -> kept ones with their number in the k-mer, whether one follows, how many others they stand for and the distances to the first and last of these.
 
-    A gap over max_dist always starts anew, so the fold runs over the runs between such gaps, not over all of a k-mer.
+    In order of pos, an occurrence is kept unless within ``max_dist`` of the last kept one. Rows pass by in batches; only the
+    last kept occurrence is carried on, so a k-mer may have any number of rows.
     """
-    order = Window.partitionBy("kmer").orderBy("pos", "ori")
-    gap = F.when(F.col("pos") - F.lag("pos").over(order) <= max_dist, 0).otherwise(1)
-    rows = marks.select("kmer", "pos", "ori").withColumn("gap", gap).withColumn("run", F.sum("gap").over(order))
-    runs = rows.groupBy("kmer", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "ori"))).alias("all"))
-    step = lambda a, x: F.struct(
-        F.when(x["pos"] - a["last"] > max_dist, x["pos"]).otherwise(a["last"]).alias("last"),
-        F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), x["ori"].alias("ori"), (x["pos"] - a["last"] > max_dist).alias("kept"), F.when(x["pos"] - a["last"] > max_dist, x["pos"]).otherwise(a["last"]).alias("anchor")))).alias("out"),
-    )
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("last"), F.expr("cast(array() as array<struct<pos:bigint,ori:int,kept:boolean,anchor:bigint>>)").alias("out"))
-    return runs.select("kmer", F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("x")).select("kmer", "x.*")
+    names = ["kmer", "ext", "pos", "ori", "dup", "others", "period", "extent"]
+
+    def rows(kmers, ext, pos, ori, dup, others, period, extent) -> pa.RecordBatch:
+        kinds = (np.int64, np.int32, np.int64, np.int32, bool, np.int64, np.int64, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, t)) for x, t in zip((kmers, ext, pos, ori, dup, others, period, extent), kinds, strict=True)], names=names)
+
+    def run(batches):
+        last = None  # the last kept occurrence: kmer, ext, pos, ori, others, period, extent
+        for batch in batches:
+            kmers, pos, ori = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kmer", "pos", "ori"))
+            n = len(kmers)
+            if not n:
+                continue
+            # a new k-mer or a gap starts anew; between such starts the kept ones are found one by one
+            starts = np.concatenate(([True], (kmers[1:] != kmers[:-1]) | (pos[1:] - pos[:-1] > max_dist)))
+            goes_on = last is not None and kmers[0] == last[0]
+            kept = starts.copy()
+            begin = np.flatnonzero(starts)
+            end = np.concatenate((begin[1:], [n]))
+            if goes_on:
+                kept[0] = False
+                at = int(np.searchsorted(pos[: end[0]], last[2] + max_dist, "right"))
+                if at:
+                    d = pos[at - 1] - last[2]
+                    last = (*last[:4], last[4] + at, last[5] if last[4] else pos[0] - last[2], d)
+                if at < end[0]:
+                    kept[at] = True
+                begin[0] = at
+            for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+                while lo < hi:
+                    kept[lo] = True
+                    lo += int(np.searchsorted(pos[lo:hi], pos[lo] + max_dist, "right"))
+            at = np.flatnonzero(kept)
+            if not len(at):
+                continue
+            own = kmers[at]
+            head = np.concatenate(([True], own[1:] != own[:-1]))
+            first = np.flatnonzero(head)
+            ext = np.arange(len(at)) - np.repeat(first, np.diff(np.concatenate((first, [len(at)]))))
+            if goes_on and own[0] == last[0]:
+                ext[: first[1] if len(first) > 1 else len(at)] += last[1] + 1
+            until = np.concatenate((at[1:], [n]))
+            others = until - at - 1
+            period = np.where(others > 0, pos[np.minimum(at + 1, n - 1)] - pos[at], 0)
+            extent = np.where(others > 0, pos[until - 1] - pos[at], 0)
+            if last is not None:
+                yield rows([last[0]], [last[1]], [last[2]], [last[3]], [own[0] == last[0]], *([x] for x in last[4:]))
+            dup = np.concatenate((~head[1:], [False]))
+            if len(at) > 1:
+                yield rows(own[:-1], ext[:-1], pos[at][:-1], ori[at][:-1], dup[:-1], others[:-1], period[:-1], extent[:-1])
+            last = tuple(int(x[-1]) for x in (own, ext, pos[at], ori[at], others, period, extent))
+        if last is not None:
+            yield rows([last[0]], [last[1]], [last[2]], [last[3]], [False], *([x] for x in last[4:]))
+
+    return run
+
+
+def chains(marks: DataFrame, max_dist: int) -> DataFrame:
+    """(kmer, ext, pos, ori, dup, others, period, extent): kept occurrences of each k-mer in order, numbered from 0 (see ``_chains``)."""
+    rows = marks.select("kmer", "pos", F.col("ori").cast("int").alias("ori")).repartition("kmer").sortWithinPartitions("kmer", "pos", "ori")
+    return rows.mapInArrow(_chains(max_dist), "kmer long, ext int, pos long, ori int, dup boolean, others long, period long, extent long")
 
 
 def postings(marks: DataFrame, max_dist: int) -> DataFrame:
     """(kmer, ext, pos, ori, dup, repetitive): kept occurrences numbered from 0; dup but for the last; repetitive if it stands for others."""
-    rows = thinned(marks, max_dist)
-    kept = rows.where("kept").select("kmer", "pos", "ori")
-    stands = rows.where("not kept").groupBy("kmer", F.col("anchor").alias("pos")).agg(F.lit(True).alias("repetitive"))
-    order = Window.partitionBy("kmer").orderBy("pos", "ori")
-    kept = kept.withColumn("ext", F.row_number().over(order) - 1).withColumn("dup", F.lead("pos").over(order).isNotNull())
-    return kept.join(stands, ["kmer", "pos"], "left").select("kmer", "ext", "pos", "ori", "dup", F.coalesce("repetitive", F.lit(False)).alias("repetitive"))
+    return chains(marks, max_dist).select("kmer", "ext", "pos", "ori", "dup", (F.col("others") > 0).alias("repetitive"))
 
 
 def repeats(marks: DataFrame, max_dist: int) -> DataFrame:
     """(kmer, pos, period, extent): for kept occurrences that stand for others, the distances to the first and the last of them."""
-    gone = thinned(marks, max_dist).where("not kept").withColumn("d", F.col("pos") - F.col("anchor"))
-    return gone.groupBy("kmer", F.col("anchor").alias("pos")).agg(F.min("d").alias("period"), F.max("d").alias("extent"))
+    return chains(marks, max_dist).where("others > 0").select("kmer", "pos", "period", "extent")
 
 
 def top_periods(found: DataFrame, most: int = 20) -> DataFrame:
