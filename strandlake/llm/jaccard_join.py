@@ -14,6 +14,7 @@ many buckets, each with a common leader; texts that are not connected with the l
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -312,22 +313,61 @@ def _hot_buckets(hot: DataFrame, hot_size: int) -> DataFrame:
     return dealt.unionByName(led).distinct().select(F.xxhash64("token", "part").alias("bucket"), "token", "leader", "key", "part")
 
 
-def _able(posts: DataFrame, threshold: int) -> DataFrame:
-    """Posts (token, key, n, size, at) without texts that cannot link with any text of the token.
+def _need(threshold: int):
+    """Column of the least number of shingles that prefixes of linked sets share: of a set of ``size``, with partners of sizes from lo to hi.
 
-    Prefixes of linked sets of sizes a <= b share at least t (a + b) / (1 + t) - t b shingles, the fewer the more the sizes
-    differ, and no more than either set shares with anyone.
+    Linked sets of sizes a <= b share at least t (a + b) / (1 + t) - t b prefix shingles, the fewer the more the sizes
+    differ. Of two texts, the partner's size is known.
     """
     t = threshold / 100
-    shared = posts.groupBy("key").agg(F.count("*").alias("k"))
-    counted = posts.join(shared, "key")
-    ends = counted.groupBy("token").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("k").alias("least_k"))
-    size = F.col("size")
-    small, large = F.greatest(F.col("lo").cast("double"), size * t), F.least(F.col("hi").cast("double"), size / t)
-    need = F.least((size + small) * t / (1 + t) - size * t, (size + large) * t / (1 + t) - large * t)
-    # of two texts, neither can share more than the other
-    most = F.when(F.col("n") == 2, F.col("least_k")).otherwise(F.col("k"))
-    return counted.join(ends, "token").where(most >= need - 1e-6).select("token", "key", "n", "size", "at")
+    size, other = F.col("size"), F.col("lo") + F.col("hi") - F.col("size")
+    small = F.greatest(F.when(F.col("n") == 2, other).otherwise(F.col("lo")).cast("double"), size * t)
+    large = F.least(F.when(F.col("n") == 2, other).otherwise(F.col("hi")).cast("double"), size / t)
+    # the bound for partners up to the own size, and from it on
+    below = (size + F.least(small, size)) * t / (1 + t) - size * t
+    above = (size + F.greatest(large, size)) * t / (1 + t) - F.greatest(large, size) * t
+    return F.when(small >= size, above).when(large <= size, below).otherwise(F.least(below, above)) - 1e-6
+
+
+def _able(posts: DataFrame, threshold: int) -> DataFrame:
+    """Posts (token, key, n, size, at, lo, hi) without texts that cannot link with any text of the token: they share too little with anyone."""
+    need = _need(threshold)
+    posts = posts.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where(F.col("k") >= need)
+    posts = materialize(posts.select("token", "key", "size", "at", "k"), "posts")
+    # again with what is left; of two texts, neither can share more than the other
+    ends = posts.groupBy("token").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("k").alias("least_k")).where("n >= 2")
+    posts_left = posts.join(ends, "token").where(F.when(F.col("n") == 2, F.col("least_k")).otherwise(F.col("k")) >= need)
+    return materialize(posts_left.select("token", "key", "n", "size", "at"), "posts", (posts,))
+
+
+#: bits of a Bloom filter per value, and at most
+BLOOM_BITS, BLOOM_MOST = 16, 1 << 27
+
+
+def bloom(values: DataFrame):
+    """Function from a long column to whether it may be among ``values`` (one column of longs): one bit each in a bitmap of bounded size.
+
+    Larger inputs fill the bitmap and let more pass, never less; it only spares rows a shuffle.
+    """
+    spark = values.sparkSession
+    name = values.columns[0]
+    n = values.count()
+    bits = 1 << min((max(n, 4096) * BLOOM_BITS).bit_length(), BLOOM_MOST.bit_length() - 1)
+    at = F.pmod(F.xxhash64(F.col(name), F.lit(11)), F.lit(bits))
+    words = values.select(F.shiftright(at, 6).alias("w"), at.alias("b"))
+    words = words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, int(b & 63)))").alias("m")).collect()
+    table = np.zeros(bits >> 6, np.int64)
+    if words:
+        at_, mask = zip(*words, strict=True)
+        table[np.array(at_)] = np.array(mask, np.int64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(b: pd.Series) -> pd.Series:
+        b = b.to_numpy()
+        return pd.Series((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return lambda column: may(F.pmod(F.xxhash64(column, F.lit(11)), F.lit(bits)))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot: int = 5000, bucket_rows: int = 4000) -> DataFrame:
@@ -358,12 +398,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     by_size = Window.partitionBy("shingle").orderBy("size")
     posts = posts.withColumn("gap", F.when(F.lag("size").over(by_size) * 100 < F.col("size") * threshold, 1).otherwise(0))
     posts = posts.withColumn("chain", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("shingle", "chain"))).where("n >= 2")
-    posts = materialize(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size", "at"), "posts")
-    posts = materialize(_able(posts, threshold), "posts", (posts,))
-    # a shingle whose texts all share another one, the first of each, adds no pair
+    together = Window.partitionBy("shingle", "chain")
+    posts = posts.withColumn("n", F.count("*").over(together)).withColumn("lo", F.min("size").over(together)).withColumn("hi", F.max("size").over(together)).where("n >= 2")
+    posts = _able(posts.select(F.xxhash64("shingle", "chain").alias("token"), "key", "n", "size", "at", "lo", "hi"), threshold)
+    # a shingle whose texts all share another one, the first of each, adds no pair; of shingles with the same texts one will do
     best = posts.groupBy("key").agg(F.min(F.struct("at", "token")).getField("token").alias("best"))
-    useful = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi"), F.count("*").alias("n")).where("n >= 2 and (lo <> hi or lo = token)").select("token", F.lit(True).alias("useful"))
+    sets = posts.join(best, "key").groupBy("token").agg(F.min("best").alias("lo"), F.max("best").alias("hi"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(key))").alias("texts"))
+    useful = sets.where("n >= 2 and (lo <> hi or lo = token)").groupBy("texts", "n").agg(F.min("token").alias("token")).select("token", F.lit(True).alias("useful"))
     posts = stored = materialize(posts.join(useful, "token", "left").withColumn("useful", F.coalesce("useful", F.lit(False))), "posts", (posts,))
     prefixes = posts.groupBy("key").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "token", "useful"))).alias("p"))
     prefixes = prefixes.select("key", "size", F.col("p.token").alias("tokens"), F.col("p.at").alias("places"), F.col("p.useful").alias("useful"))
@@ -377,7 +418,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     schema = "a long, b long, token long"
 
     def linked(placed: DataFrame) -> DataFrame:
-        with_text = placed.join(reps.select("key", "rep"), "key").join(texts.select("doc_order", F.col("key").alias("k"), "text"), (F.col("rep") == F.col("doc_order")) & (F.col("key") == F.col("k")))
+        placed = materialize(placed.join(reps.select("key", "rep"), "key"), "placed")
+        # most texts are asked for by no bucket and stay where they are
+        asked = bloom(placed.select("key").distinct())
+        own = texts.select("doc_order", F.col("key").alias("k"), "text").where(asked(F.col("key")))
+        with_text = placed.join(own, (F.col("rep") == F.col("doc_order")) & (F.col("key") == F.col("k")))
         return with_text.select("bucket", "token", "leader", "key", "text").groupBy("bucket").applyInArrow(_bucket_links(size, threshold), schema)
 
     has_hot = posts.where(F.col("n") > hot).limit(1).count() > 0
