@@ -18,7 +18,7 @@ def _documents(rows: DataFrame, text) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is under the rejection threshold."""
+    """Documents whose expected severity is under the rejection threshold; one with a null or empty text has no toxic words and stays."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=("lang", "source", "n_chars")).where(F.col("severity") < toxicity.REJECT).select(*COLUMNS)
 
@@ -33,27 +33,33 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     classes = jaccard_join.jaccard_components(rows.select(F.col("_node").alias("doc_id"), "text"), size=5, threshold=80)
     classes = classes.select(F.col("doc_id").alias("_node"), "component_id").distinct()
     nodes = rows.groupBy("_node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    least = nodes.join(classes, "_node").groupBy("component_id").agg(F.min(F.struct("doc_id", "_node", "n")).alias("least"))
-    kept = materialize(least.select("least._node", F.col("least.n").alias("_n")), "kept")
-    rows = rows.join(kept, "_node")
+    judged = materialize(nodes.join(classes, "_node"), "judged")
+    least = judged.groupBy("component_id").agg(F.min(F.struct("doc_id", "_node")).alias("least")).select(F.col("least._node").alias("_node"), F.lit(True).alias("kept"))
+    # rows that are told apart from others: of classes of several, and repeated ones; all others stay where they are
+    many = judged.groupBy("component_id").agg(F.sum("n").alias("rows")).where("rows > 1").select("component_id")
+    special = judged.join(many, "component_id").join(least, "_node", "left").select("_node", "n", F.coalesce("kept", F.lit(False)).alias("kept"))
+    special = materialize(special, "special")
+    may = jaccard_join.bloom(special.select("_node"))
+    rows = rows.withColumn("_special", may(F.col("_node")))
+    met = rows.where("_special").drop("_special").join(special, "_node", "left").where("kept is null or kept")
     # only repeated rows meet
-    again = rows.where("_n > 1").groupBy("_node").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return rows.where("_n = 1").select(*COLUMNS).unionByName(again)
+    again = met.where("n > 1").groupBy("_node").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rows.where("not _special").select(*COLUMNS).unionByName(met.where("n is null or n = 1").select(*COLUMNS)).unionByName(again)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 20 words that stand earlier; one left without words goes, an unchanged one stays as it is."""
+    """Documents without passages of 20 words that stand earlier; one left without words goes, an unchanged one stays as it is, also a null or empty one."""
     rows = substring_dedup.remove_repeats(docs, keep=("lang", "source", "n_chars")).where("n_removed = 0 or n_removed < n_words")
     return _documents(rows, F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text")))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; a null text stays null and has null n_chars."""
     return _documents(pii.find_pii(docs, keep=("lang", "source")), F.col("redacted_text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 ids."""
+    """Pieces of the documents in sequences of 2048 ids; a null or empty text is one piece, the end id."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
