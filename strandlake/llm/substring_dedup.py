@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Words, doc_order, materialize, mix, sliding_min, slices, text_key
 
 #: words of a phrase, phrases of one automaton, and bytes of text in a bucket on average
-PHRASE, SHARD, BUCKET = 8, 16_384, 1 << 19
+PHRASE, SHARD, BUCKET = 8, 8_192, 1 << 18
 
 
 def _selected(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
     dealt = rows.select("*", bucket).repartition("bucket").groupBy("bucket")
     firsts = light.select(bucket, "doc_order", "key")
     speakers = recurring.groupBy("phrase").agg(F.min(F.struct("key", "doc_order")).alias("by")).select("by.*", "phrase").select(bucket, "doc_order", "key", "phrase")
-    spoken = dealt.cogroup(speakers.groupBy("bucket")).applyInArrow(_spoken(window), "phrase long, words string").dropDuplicates(["phrase"])
+    spoken = dealt.cogroup(speakers.groupBy("bucket")).applyInArrow(_spoken(window), "phrase long, words string")  # a phrase has one speaker, and equal rows share a bucket
     none = F.lit(None).cast("long")
     given = recurring.join(spoken, "phrase").select(bucket, none.alias("doc_order"), none.alias("key"), "words").distinct()
     given = given.unionByName(firsts.withColumn("words", F.lit(None).cast("string")))
