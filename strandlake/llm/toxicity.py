@@ -15,8 +15,8 @@ from .common import Words, materialize, slices
 
 #: labelled rows used for fitting at most, features, and least number of distinct texts that hold a feature
 TRAIN_ROWS, FEATURES, LEAST_TEXTS = 20_000, 1024, 5
-#: likelihood ratio that a word must have to be a feature: chance differences among some 100,000 words stay below
-LEAST_GAIN = 40.0
+#: likelihood ratio that a word must have to be a feature: by chance, one in a million words has it
+LEAST_GAIN = 24.0
 GRADES = 3
 #: expected severity from which a text is rejected
 REJECT = 0.25
@@ -108,7 +108,9 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: in
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``train_rows`` labelled rows, taken by a hash of doc_id; of near copies one row counts.
 
-    Without labelled rows of both classes the model gives severity 0 to all.
+    Near copies are taken to be rows with the same least hash of five words, which rows that share a passage can have too;
+    that only leaves rows out of the fit. Labels that are null or neither 0 nor 1, or without doc_id, are not used; of
+    repeated labels the greater holds. Without labelled rows of both classes the model gives severity 0 to all.
     """
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0))
     sample = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -157,7 +159,11 @@ def _scored(model: Model, names: list[str]):
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, the columns in ``keep`` and severity (expected grade, 0 to 2) of every row; a null or empty text has no words."""
+    """doc_id, text, the columns in ``keep`` and severity (expected grade, 0 to 2) of every row.
+
+    A null or empty text has no words and the severity of such. Repeated rows and equal or null doc_ids are judged each by
+    its text. Other columns are left out, whatever their names. An empty table gives no rows.
+    """
     names = ["doc_id", "text", *keep]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     return docs.select(*names).mapInArrow(_scored(model, names), f"{types}, severity double")
