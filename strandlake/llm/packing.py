@@ -63,7 +63,13 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if self.fast is None or self.special.search(t)]
         known = dict(zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True))
-        return [np.array(known[i].ids, np.uint32) if i in known else self.fast(t) for i, t in enumerate(texts)]
+        return [np.array(known[i].ids, np.uint32) if i in known else self._ranked(t) for i, t in enumerate(texts)]
+
+    def _ranked(self, text: str) -> np.ndarray:
+        try:
+            return self.fast(text)
+        except ValueError:  # its pattern gives up on very long white space; the tokenizer's own does not
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -118,8 +124,28 @@ def _fit(patterns: np.ndarray, have: np.ndarray, rounds: int = 300) -> np.ndarra
     return x
 
 
+#: (grain as a multiple, share of the fitted repeat counts) that are tried, until the sequences are as few as their lengths allow
+TRIES = ((1.0, 1.0), (0.5, 0.6), (1.0, 0.3), (2.0, 0.3))
+
+
 def plan(histogram: np.ndarray, capacity: int, grain: int = 32) -> list[tuple[int, tuple[int, ...]]]:
-    """(repeats, lengths) of sequences that together hold just the pieces of the histogram (index: length)."""
+    """(repeats, lengths) of sequences that together hold just the pieces of the histogram (index: length).
+
+    Patterns leave the residuals that best fit packs. With all of the fitted repeats the residuals may pack badly, so
+    other grains and smaller shares are tried as well, and the plan with the fewest sequences is given.
+    """
+    least, best = -(-int((histogram * np.arange(capacity + 1)).sum()) // capacity), None
+    for times, share in TRIES:
+        found = _plan(histogram, capacity, max(1, int(grain * times)), share)
+        n = sum(repeats for repeats, _ in found)
+        if best is None or n < best[0]:
+            best = n, found
+        if n <= least:
+            break
+    return best[1]
+
+
+def _plan(histogram: np.ndarray, capacity: int, grain: int, share: float) -> list[tuple[int, tuple[int, ...]]]:
     left = histogram.astype(np.int64).copy()
     out: list[tuple[int, tuple[int, ...]]] = []
 
@@ -143,7 +169,7 @@ def plan(histogram: np.ndarray, capacity: int, grain: int = 32) -> list[tuple[in
     c = np.unique(np.sort(c, 1), axis=0)
     c = c[(c.max(1) <= classes) & (c.min(1) >= 0) & (c.sum(1) > 0)]
     which = -(-np.arange(capacity + 1) // grain)
-    repeats = np.floor(_fit(c, np.bincount(which, left, classes + 1))).astype(np.int64)
+    repeats = np.floor(share * _fit(c, np.bincount(which, left, classes + 1))).astype(np.int64)
 
     def best(limit: int, low: int = 1) -> int:
         """Longest length that is left and at most ``limit``; 0: none."""
@@ -212,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, ids (with ``with_ids``), sequence_id, offset. A null or
     empty text is the end id alone. Only documents longer than a sequence are cut. Repeated rows and equal or null
-    doc_ids are documents of their own.
+    doc_ids are documents of their own. Other columns are left out, whatever their names. An empty table gives no rows.
     """
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), columns), "pieces")
