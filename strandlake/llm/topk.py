@@ -33,19 +33,27 @@ def _matrix(vectors) -> np.ndarray:
 
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Exact integer products; doubles serve where no partial sum can pass 2^53."""
+    """Integer products as longs, one beyond 64 bits as the nearest long.
+
+    Doubles are exact where no partial sum can pass 2^53; Python's integers serve beyond 62 bits.
+    """
     if not queries.size or not candidates.size:
         return np.zeros((len(queries), len(candidates)), np.int64)
-    most = float(np.abs(queries).max()) * float(np.abs(candidates).max()) * queries.shape[1]
+    most = _largest(queries) * _largest(candidates) * queries.shape[1]
     if most < 2**53:
-        return (queries.astype(float) @ candidates.astype(float).T).astype(np.int64)
+        return (queries.astype(float, copy=False) @ candidates.astype(float, copy=False).T).astype(np.int64)
     if most < 2**62:
         return queries @ candidates.T
-    return np.array([[sum(int(a) * int(b) for a, b in zip(q, c, strict=True)) for c in candidates] for q in queries], object)
+    whole = queries.astype(object) @ candidates.T.astype(object)
+    return np.array([[max(-(1 << 63), min((1 << 63) - 1, x)) for x in row] for row in whole], np.int64).reshape(whole.shape)
+
+
+def _largest(matrix: np.ndarray) -> float:
+    return max(float(matrix.max()), -float(matrix.min()))
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
+    return np.lexsort((ids, ~score))[:k]
 
 
 def _bucket(k: int):
@@ -61,7 +69,11 @@ def _bucket(k: int):
             order = np.argsort(-norm, kind="stable")
             c, ids, norm = c[order], ids[order], norm[order]
             unit = c / np.maximum(norm, 1e-12)[:, None]
-            q, q_ids, q_norm, floor = _matrix(queries["v"]), queries["vec_id"].to_numpy(), queries["norm"].to_numpy(), queries["floor"].to_numpy()
+            # products of a bucket are exact in doubles if its largest numbers say so; converted once then
+            q = _matrix(queries["v"])
+            if _largest(c) * _largest(q) * dim < 2**53:
+                q, c = q.astype(float), c.astype(float)
+            q_ids, q_norm, floor = queries["vec_id"].to_numpy(), queries["norm"].to_numpy(), queries["floor"].to_numpy()
             for i in range(len(q)):
                 keep = slice(0, len(ids))
                 if np.isfinite(floor[i]) and q_norm[i] > 0:
@@ -71,8 +83,9 @@ def _bucket(k: int):
                             continue
                         # vectors too short to reach the bound end the bucket
                         n = int(np.searchsorted(-norm, -(floor[i] / q_norm[i] * (1 - 1e-9)), "right"))
-                        keep = np.arange(n)
+                        keep = slice(0, n)
                         if cosine >= COSINE:
+                            keep = np.arange(n)
                             u = q[i] / q_norm[i]
                             angle = np.arccos(min(1.0, cosine))
                             for f in np.argsort(-np.abs(u))[:FOCUS]:
@@ -83,10 +96,10 @@ def _bucket(k: int):
                 other = own != q_ids[i]
                 score, own = score[other], own[other]
                 if len(score) and np.isfinite(floor[i]):
-                    good = score >= floor[i]
+                    good = score.astype(float) >= floor[i] * (1 - 1e-9 * np.sign(floor[i]))  # the floor is rounded
                     score, own = score[good], own[good]
                 best = _best(score, own, k)
-                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": own[best], "score": score[best].astype(np.int64)}))
+                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": own[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
     return run
@@ -97,7 +110,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     queries, candidates: (vec_id, v) with integer components. Ties go to the smaller vec_id. Vectors of different
     dimension, or of none, have no product. Fewer than k candidates give all. Query ids must be distinct; repeated
-    candidate rows count each.
+    candidate rows count each. A score beyond 64 bits is given as the nearest long; ranks follow the scores given.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     candidates = candidates.select("vec_id", "v", norm.alias("norm"))
@@ -121,14 +134,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     queries = queries.mapInPandas(floors, "vec_id long, v array<long>, norm double, floor double")
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n_queries // QUERY_ROWS)))).cast("int"))
-    cuts = candidates.approxQuantile("norm", [i / BANDS for i in range(1, BANDS)], 0.01) if n else []
-    band = sum((F.when(F.col("norm") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    parts = max(1, -(-n // (BANDS * BAND_ROWS)))
-    candidates = candidates.withColumn("band", band).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    blocks, bands = max(1, -(-n_queries // QUERY_ROWS)), len(set(cuts)) + 1
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    q = queries.withColumn("band", every(bands)).withColumn("part", every(parts))
-    c = candidates.withColumn("block", every(blocks))
+    cuts = sorted(set(candidates.approxQuantile("norm", [i / BANDS for i in range(1, BANDS)], 0.01))) if n else []
+    band = sum((F.when(F.col("norm") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    candidates = candidates.withColumn("band", band)
+    # a band of many vectors is dealt into parts; a query goes to those bands whose longest vector can reach its bound
+    bands = {r.band: r for r in candidates.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()}
+    parts = [max(1, -(-bands[b].n // BAND_ROWS)) if b in bands else 1 for b in range(len(cuts) + 1)]
+    most = [bands[b].most if b in bands else 0.0 for b in range(len(cuts) + 1)]
+    of_band = lambda values, kind: F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("band") + 1)
+    candidates = candidates.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_band(parts, "long")).cast("int"))
+    blocks = max(1, -(-n_queries // QUERY_ROWS))
+    q = queries.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
+    q = q.where((F.col("floor") <= 0) | (F.col("norm") * of_band(most, "double") >= F.col("floor") * (1 - 1e-9)))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), of_band(parts, "int") - 1)))
+    c = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["block", "band", "part"]
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_bucket(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
