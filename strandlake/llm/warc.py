@@ -1,28 +1,30 @@
 """WARC archives: writing captures, and transaction assembly on reading.
 
 A capture is three records: request, response (or revisit) and metadata; request and metadata name the response in
-WARC-Concurrent-To. Archives are written by Spark's text writer, whose line separator is the blank line pair that ends a
-WARC record, so commits and retries are Spark's. Reading takes whole archive files (of a bounded number of captures) and
-joins the three records of a transaction through their identifiers into one nested row.
+WARC-Concurrent-To, and a revisit names the response with its payload in WARC-Refers-To. Each record is a gzip member of
+its own. Spark's text writer lays the members down, so commits and retries are Spark's: the writer's line separator is a
+zero byte, which is also the last byte of a member (the high byte of its size), so each member is handed over without it.
+Reading takes archive files (cut at a number of bytes) member by member and joins the three records of a transaction
+through their identifiers into one nested row.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 END = "\r\n\r\n"
 #: captures with shorter payloads are stored whole each time
 LEAST_REVISIT = 100
-#: captures in one archive file
-PER_FILE = 1000
+#: captures in one archive file at most
+PER_FILE = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,57 +41,90 @@ def _record(kind: Column | str, record_id: Column, uri: Column, date: Column, fi
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)  # concat_ws leaves out null lines
 
 
+def _members(batches):
+    """(three records) -> each as a gzip member, the last byte (zero) left to the writer."""
+    for batch in batches:
+        out = []
+        for i in range(len(batch)):
+            members = []
+            for column in batch.columns:
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                raw = memoryview(column[i].as_buffer())
+                members.append(pack.compress(raw) + pack.flush())
+                if members[-1][-1]:  # a record of 16 MiB or more: an empty member ends it with a zero byte
+                    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    members.append(pack.compress(b"") + pack.flush())
+            out.append(b"".join(members)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = PER_FILE) -> None:
-    """Write (page_id, url, html) as gzipped WARC files.
+    """Write (page_id, url, html) as WARC files of gzip members.
 
     Of records with equal payloads of LEAST_REVISIT bytes or more, the one with the least page_id is a response and the
-    others revisit it. A null html is an empty payload, a null url an empty target. Rows that repeat a page_id are
-    captures of their own, told apart by url and payload digest; wholly equal rows are one capture.
+    others revisit it. A null html is an empty payload, a null url an empty target; a null page_id is stored as none and
+    is never referred to. Rows that repeat a page_id are captures of their own, told apart by url and payload digest (of
+    those with the least page_id all are responses, and the first by url is named); wholly equal rows give equal records.
+    Other columns are left out. An empty table gives archives without records.
     """
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "%0A").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    light = rows.where(F.octet_length("html") >= LEAST_REVISIT).select("digest", "page_id")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    revisits = light.join(first, "digest").where("page_id <> refers_to").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
-    rows = rows.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    again, page, uri, when = F.col("refers_to").isNotNull(), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url"), F.lit(date)
+    light = rows.where((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("digest", "page_id", "url")
+    first = light.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    revisits = light.join(first, "digest").where(F.col("page_id") != F.col("first.page_id")).select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("digest").alias("d"), "first").distinct()
+    rows = rows.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("url") == F.col("u")) & (F.col("digest") == F.col("d")), "left")
+    again, page, uri, when = F.col("first").isNotNull(), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url"), F.lit(date)
+    response = _id("response", F.concat_ws("|", page, "url", "digest"))
     own = F.concat_ws("|", page, "url", "digest")
-    response = _id("response", own)
+    to = _id("response", F.concat_ws("|", F.col("first.page_id").cast("string"), F.col("first.url"), "digest"))
     head = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
-    to = F.concat_ws("|", F.col("refers_to").cast("string"), "digest")
-    records = F.concat_ws(
-        END,
-        _record("request", _id("request", own), uri, when, [("WARC-Concurrent-To", response)], F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\n\r\n")), "application/http; msgtype=request"),
-        _record(
+    end = F.lit(END)
+    records = rows.select(
+        F.concat(_record("request", _id("request", own), uri, when, [("WARC-Concurrent-To", response)], F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\n\r\n")), "application/http; msgtype=request"), end).alias("request"),
+        F.concat(_record(
             F.when(again, "revisit").otherwise("response"), response, uri, when,
-            [("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("WARC-Profile", F.when(again, PROFILE)), ("X-Source-Row", page), ("WARC-Refers-To", F.when(again, _id("payload", to))), ("X-Payload-ID", F.when(~again, _id("payload", F.concat_ws("|", page, "digest"))))],
+            [("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("WARC-Profile", F.when(again, PROFILE)), ("WARC-Refers-To", F.when(again, to))],
             F.when(again, head).otherwise(F.concat(head, "html")), "application/http; msgtype=response",
-        ),
-        _record("metadata", _id("metadata", own), uri, when, [("WARC-Concurrent-To", response)], F.concat(F.lit("page-id: "), page, F.lit("\r\n")), "application/warc-fields"),
+        ), end).alias("response"),
+        F.concat(_record("metadata", _id("metadata", own), uri, when, [("WARC-Concurrent-To", response)], F.concat(F.lit("page-id: "), page, F.lit("\r\n")), "application/warc-fields"), end).alias("metadata"),
     )
-    rows.select(records.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    members = records.mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+
+
+FIELDS = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, page_id long, payload binary, payload_bytes long, payload_digest string"
 
 
-FIELDS = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, payload_id string, page_id long, payload binary, payload_bytes long, payload_digest string"
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers with lower-case names, block) of a WARC record; ValueError on a broken one."""
+    if raw[:5] != b"WARC/":
+        raise ValueError("no WARC record")
+    end = raw.index(b"\r\n\r\n")
+    lines = raw[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    size = int(headers["content-length"])
+    return headers, raw[end + 4 : end + 4 + size]
 
 
 def parse_records(raw: bytes):
-    """(headers with lower-case names, block) of each record of an uncompressed WARC file; ValueError on a broken one."""
+    """(headers, block) of each record of a WARC file whose records are gzip members, one in memory at a time."""
     at = 0
     while at < len(raw):
-        if raw[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        one, parts = zlib.decompressobj(31), []
+        view = memoryview(raw)
+        while not one.eof:  # in pieces, so that what is left over is never copied whole
+            if at >= len(raw):
+                raise ValueError("a gzip member is cut off")
+            parts.append(one.decompress(view[at : at + 65536]))
+            at += min(65536, len(raw) - at)
+        at -= len(one.unused_data)
+        if record := b"".join(parts):
+            yield parse_record(record)
 
 
 def _read(with_payload: bool):
     def rows(content: bytes):
-        for headers, block in parse_records(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+        for headers, block in parse_records(content):
             kind = headers.get("warc-type")
             payload, page = None, None
             if kind == "response":
@@ -97,7 +132,7 @@ def _read(with_payload: bool):
             if kind == "metadata":
                 page = next((int(v) for k, _, v in (x.partition(": ") for x in block.decode().split("\r\n")) if k == "page-id" and v), None)
             yield (
-                headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-refers-to"), headers.get("x-payload-id"), page,
+                headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-refers-to"), page,
                 payload if with_payload else None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest(),
             )
 
@@ -122,29 +157,32 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: request, response and metadata joined through concurrent-to identifiers.
 
     A response or revisit without request or metadata has null there. A revisit's payload size and digest are those of
-    the response it refers to. Returns capture_id, page_id, request, response, metadata (structs).
+    the response that its WARC-Refers-To names, null if there is none. Responses that repeat an identifier are captures
+    each, with the same request and metadata. Returns capture_id, page_id, request, response, metadata (structs).
     """
     main = records.where("record_type in ('response', 'revisit')")
     side = lambda kind: records.where(F.col("record_type") == kind).select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target_uri", "date", "page_id").alias(kind)).dropDuplicates(["capture_id"])
-    whole = main.where("payload_id is not null").select(F.col("payload_id").alias("refers_to"), F.struct("payload_bytes", "payload_digest").alias("whole"), F.lit(True).alias("found"))
+    own = F.struct("payload_bytes", "payload_digest")
+    first = main.where("record_type = 'response'").select(F.col("record_id").alias("named"), own.alias("whole")).dropDuplicates(["named"])
     # only revisits look for what they refer to
-    seen = main.where("record_type = 'revisit'").join(whole.dropDuplicates(["refers_to"]), "refers_to", "left").select(*main.columns, "whole")
-    both = main.where("record_type = 'response'").withColumn("whole", F.struct("payload_bytes", "payload_digest")).unionByName(seen)
+    seen = main.where("record_type = 'revisit'").join(first, F.col("refers_to") == F.col("named"), "left").select(*main.columns, "whole")
+    both = main.where("record_type = 'response'").withColumn("whole", own).unionByName(seen)
     response = F.struct("record_id", "record_type", "target_uri", "date", "refers_to", "payload", F.col("whole.payload_bytes").alias("payload_bytes"), F.col("whole.payload_digest").alias("payload_digest"))
     captures = both.select(F.col("record_id").alias("capture_id"), response.alias("response"))
     return captures.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left").select("capture_id", F.col("metadata.page_id").alias("page_id"), "request", "response", "metadata")
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    """The contract query: every page written to WARC and read back."""
+    """The contract query: every page written to WARC and read back; refers_to is the page of the response that a revisit names."""
     path = f"{shared_dir(spark)}/strandlake-warc-{uuid.uuid4().hex}"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    captures = assemble(read_records(spark, path, with_payload=False))
-    first = captures.where("response.record_type = 'response'").select("page_id", F.col("response.payload_digest").alias("digest"), F.col("response.payload_bytes").alias("bytes")).where(F.col("bytes") >= LEAST_REVISIT)
-    first = first.groupBy("digest").agg(F.min("page_id").alias("first_page"))
-    revisits = captures.where("response.record_type = 'revisit'").select("capture_id", F.col("response.payload_digest").alias("digest")).join(first, "digest").select("capture_id", "first_page").dropDuplicates(["capture_id"])
-    out = captures.join(revisits, "capture_id", "left")
-    return out.select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("first_page").alias("refers_to"))
+    # the archives are parsed once; what is joined are records without payloads
+    records = materialize(read_records(spark, path, with_payload=False), "warc-records")
+    captures = materialize(assemble(records).select("capture_id", "page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", F.col("response.refers_to").alias("named")), "warc-captures", (records,))
+    first = captures.where("record_type = 'response'").select(F.col("capture_id").alias("named"), F.col("page_id").alias("refers_to")).dropDuplicates(["named"])
+    revisits = captures.where("record_type = 'revisit'").join(first, "named", "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return captures.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*names).unionByName(revisits.select(*names))
 
 
 OP6_SQL = """
