@@ -2,9 +2,10 @@
 
 A text is cut into units, white space with the word behind it, which pieces never cross. New units of equal length
 advance together: substrings are hashed from prefix hashes, the hashes probe the sorted piece keys, and vectorised
-maxima choose. For a unigram model that is Viterbi decoding with stored backpointers (``viterbi``). A BPE model's ids
-are not the best sum of its scores, so there the maxima choose the next merge instead (``merge``), which gives the
-model's own ids. Both share hashing and probing. Characters outside the vocabulary fall back to byte pieces.
+maxima store backpointers (``viterbi``): the pieces with the greatest sum of scores. That is how a unigram model encodes.
+A BPE model has scores too, and its best sum is given for it as well; but its own ids come from merges, so beside them
+the same probing and maxima choose the merges (``merge``), which gives the ids of the library.
+Characters outside the vocabulary fall back to byte pieces.
 """
 
 from __future__ import annotations
@@ -158,8 +159,8 @@ def merge(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
     return mask[:, 1:]
 
 
-def encode_units(units: list[str], pieces: Pieces) -> list[np.ndarray]:
-    """Ids of each unit."""
+def encode_units(units: list[str], pieces: Pieces, best: bool = True) -> list[np.ndarray]:
+    """Ids of each unit: of the greatest sum of scores (``best``), or by merges."""
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
     lengths = np.array([len(u) for u in units])
     for n in np.unique(lengths).tolist():
@@ -167,13 +168,13 @@ def encode_units(units: list[str], pieces: Pieces) -> list[np.ndarray]:
         for lo in range(0, len(which), max(1, BATCH * 8 // n)):
             at = which[lo : lo + max(1, BATCH * 8 // n)]
             codes = np.frombuffer("".join(units[i] for i in at.tolist()).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.int64)
-            mask = merge(codes, pieces) if pieces.is_bpe else viterbi(codes, pieces)
+            mask = viterbi(codes, pieces) if best else merge(codes, pieces)
             row, end = np.nonzero(mask)
             end = end + 1
             start = np.concatenate(([0], end[:-1]))
             start[np.concatenate(([True], row[1:] != row[:-1]))] = 0
             found = pieces.spans(prefix_hashes(codes), row, start, end)
-            ids = np.where(found >= 0, pieces.ids[found], -1)
+            ids = np.where(found >= 0, pieces.ids[found], -1).astype(np.int32)
             first = np.searchsorted(row, np.arange(len(at) + 1))
             missing = np.zeros(len(at), bool)
             missing[row[ids < 0]] = True
@@ -181,13 +182,31 @@ def encode_units(units: list[str], pieces: Pieces) -> list[np.ndarray]:
                 own = ids[first[k] : first[k + 1]]
                 if missing[k]:
                     parts = [[x] if x >= 0 else pieces.bytes[list(units[i][s:e].encode())].tolist() for x, s, e in zip(own.tolist(), start[first[k] : first[k + 1]].tolist(), end[first[k] : first[k + 1]].tolist(), strict=True)]
-                    own = np.array([x for p in parts for x in p])
-                out[i] = own.astype(np.int32)
+                    own = np.array([x for p in parts for x in p], np.int32)
+                out[i] = own
     return out
 
 
+class Units:
+    """Ids of known units behind each other in one flat array."""
+
+    def __init__(self):
+        self.flat, self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, new: list[np.ndarray]) -> None:
+        n = np.array([len(x) for x in new], np.int64)
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(n) - n))
+        self.length = np.concatenate((self.length, n))
+        self.flat = np.concatenate((self.flat, *new))
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        n = self.length[at]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
+
+
 class Codec:
-    """Encodes through a bounded cache: a unit's ids lie in one flat array."""
+    """Encodes through a bounded cache of units, with the ids of the best sum of scores and the model's own."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -198,30 +217,25 @@ class Codec:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.best, self.own = Units(), Units()
 
-    def _learn(self, units: list[str]) -> None:
-        new = encode_units(units, self.pieces)
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        n = np.array([len(x) for x in new], np.int64)
-        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(n) - n))
-        self.length = np.concatenate((self.length, n))
-        self.flat = np.concatenate((self.flat, *new))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_both(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of each text: of the best sum of scores, and the model's own (for a unigram model the same)."""
         units = [UNITS.findall(self.pieces.normalize(t)) for t in texts]
         if len(self.known) > CACHE:
             self.clear()
         new = list({u for us in units for u in us}.difference(self.known))
         if new:
-            self._learn(new)
-        out = []
-        for us in units:
-            at = np.fromiter(map(self.known.__getitem__, us), np.int64, len(us))
-            n = self.length[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(ends[-1])] if us else np.zeros(0, np.int32))
-        return out
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.best.add(encode_units(new, self.pieces))
+            if self.pieces.is_bpe:
+                self.own.add(encode_units(new, self.pieces, best=False))
+        at = [np.fromiter(map(self.known.__getitem__, us), np.int64, len(us)) for us in units]
+        best = [self.best.of(x) for x in at]
+        return best, [self.own.of(x) for x in at] if self.pieces.is_bpe else best
+
+    def encode(self, texts: list[str], best: bool = False) -> list[np.ndarray]:
+        return self.encode_both(texts)[0 if best else 1]
 
     def decode(self, ids) -> str:
         """Text of ids: pieces behind each other, without the leading space that encoding adds."""
@@ -241,8 +255,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in ``keep`` and ids (array<int>) of every text; null or empty: no ids. Repeated rows are treated alike."""
+def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = (), best: bool = False) -> DataFrame:
+    """doc_id, the columns in ``keep`` and ids (array<int>) of every text; null or empty: no ids.
+
+    ids are the model's own, or with ``best`` those with the greatest sum of piece scores. Repeated rows and equal or null
+    doc_ids are encoded each by its text. Other columns are left out, whatever their names. An empty table gives no rows.
+    """
     names = ["doc_id", *keep]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
@@ -251,7 +269,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                ids = own.encode([t or "" for t in part.column("text").to_pylist()])
+                ids = own.encode([t or "" for t in part.column("text").to_pylist()], best)
                 first = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int32), *ids])
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.ListArray.from_arrays(pa.array(first), pa.array(flat, pa.int32()))], names=[*names, "ids"])
@@ -275,18 +293,27 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{types}, decoded string")
 
 
-def _digests(batches):
-    for batch in batches:
-        ids = batch.column("ids")
-        crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()) for x in ids]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), batch.column("decoded")], names=["doc_id", "n_ids", "ids_crc32", "decoded"])
+def _digests(model: str):
+    """(doc_id, text) -> number and checksum of the model's own ids and of the best ones, and the text that the best ones decode to."""
+
+    def run(batches):
+        codec_ = codec(model)
+        crc = lambda ids: pa.array([zlib.crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64())
+        size = lambda ids: pa.array([len(x) for x in ids], pa.int64())
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                best, own = codec_.encode_both([t or "" for t in part.column("text").to_pylist()])
+                decoded = pa.array([codec_.decode(x) for x in best], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), size(own), crc(own), size(best), crc(best), decoded], names=["doc_id", "n_ids", "ids_crc32", "best_n_ids", "best_ids_crc32", "decoded"])
+
+    return run
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Ids of every document, digested, and the digest of the text decoded from them."""
+    """Every document's ids, the model's own and those of the best sum of scores, digested, and the digest of the text decoded from the best."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
-    out = out.mapInArrow(_digests, "doc_id long, n_ids long, ids_crc32 long, decoded string")
-    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = docs.mapInArrow(_digests(public_tokenizers.path("piece_bpe_32k.model")), "doc_id long, n_ids long, ids_crc32 long, best_n_ids long, best_ids_crc32 long, decoded string")
+    return out.select("doc_id", "n_ids", "ids_crc32", "best_n_ids", "best_ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
