@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
@@ -61,71 +62,61 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
 
 # --- words ----------------------------------------------------------------------------------------
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-#: bytes that are hashed at once, so that arrays of a number a byte stay small
-_SPAN = 1 << 17
+#: longest word in bytes that is hashed in arrays, eight bytes at a time
+LONG_WORD = 64
+_KEPT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Finalise 64-bit hashes (the public splitmix64 finaliser)."""
+    """Finalise 64-bit hashes (the public splitmix64 finaliser, a bijection)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def _tables() -> tuple[np.ndarray, ...]:
-    """Powers of the multiplier and of its inverse, and the numbers of bytes as they are and lower-cased."""
-    inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-    powers = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SPAN, m, np.uint64))), dtype=np.uint64) for m in (_MULT, inverse)]
-    plain = np.arange(1, 257, dtype=np.uint64)
-    lower = plain.copy()
-    lower[65:91] += np.uint64(32)
-    return (*powers, plain, lower)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """Hash of each word data[start:end], from differences of running sums of its bytes by powers, span by span."""
-    if not _POWERS:
-        _POWERS.extend(_tables())
-    power, inverse, plain, lowered = _POWERS
-    number = lowered if lower else plain
-    out = np.empty(len(start), np.uint64)
-
-    def sums(lo: int, hi: int) -> np.ndarray:
-        value = np.zeros(hi - lo + 1, np.uint64)
-        np.multiply(number[data[lo:hi]], power[: hi - lo], out=value[1:])
-        return np.cumsum(value, out=value)
-
-    i = 0
-    while i < len(start):
-        lo = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, lo + _SPAN, "right")))
-        if end[j - 1] - lo <= _SPAN:
-            total = sums(lo, int(end[j - 1]))
-            out[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * inverse[start[i:j] - lo]
-        else:  # one word longer than a span
-            h = np.zeros(1, np.uint64)
-            for at in range(lo, int(end[i]), _SPAN):
-                h = mix(h * _MULT + sums(at, min(at + _SPAN, int(end[i])))[-1])
-            out[i] = h[0]
-        i = j
-    return mix(out + (end - start).astype(np.uint64))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word data[start:end]. Of one size up to eight bytes, different words never meet.
+
+    Words up to LONG_WORD bytes are mixed eight bytes after eight, longer ones are hashed by BLAKE2b. Two seeds give 128 bits.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(int(_MULT) * (seed + 1) & (1 << 64) - 1))
+    live = np.flatnonzero(size <= LONG_WORD) if len(size) and size.max() > LONG_WORD else slice(None)
+    at, left = start[live], size[live]
+    while len(at):
+        h[live] = mix(h[live] ^ (eight[at] & _KEPT[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little")
+    return h
+
+
+def _class(inside) -> np.ndarray:
+    return np.array([inside(b) for b in range(256)], bool)
+
+
+#: bytes of words, of letters with what is not ASCII, and of letters and digits with what is not ASCII
+WORD_BYTES = _class(lambda b: b != 32 and not 9 <= b <= 13)
+LETTER_BYTES = _class(lambda b: b >= 128 or chr(b).isalpha())
+TERM_BYTES = _class(lambda b: b >= 128 or chr(b).isalnum())
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of several texts that lie behind each other in one byte buffer.
+    """Words ``[^\\x20\\x09-\\x0D]+``, or runs of other bytes, of several texts that lie behind each other in one byte buffer.
 
     hash: 64-bit hash per word; start, end: byte places; first: index of each text's first word (one more entry at the end).
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, of: np.ndarray = WORD_BYTES):
         n = len(data)
-        if letters:
-            inside = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
-        else:
-            inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        inside = of[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         apart = edge[1:n] | ~inside[: n - 1] if n else np.zeros(0, bool)
@@ -135,18 +126,19 @@ class Words:
         ends[: n - 1] &= edge[1:n] | ~inside[1:] if n else True
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = _word_hashes(data, self.start, self.end, lower)
+        self.hash = word_hashes(data, self.start, self.end, lower)
 
-    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the ``size`` words from each word on, and whether they lie in one text."""
-        n = len(self.hash)
+    def grams(self, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the ``size`` words from each word on, and whether they lie in one text. hashes: others of the words than ``hash``."""
+        hashes = self.hash if hashes is None else hashes
+        n = len(hashes)
         out = np.zeros(n, np.uint64)
         m = n - size + 1
         if m > 0:
             total = np.zeros(m, np.uint64)
             for j in range(size):
                 total *= _MULT
-                total += self.hash[j : j + m]
+                total += hashes[j : j + m]
             out[:m] = mix(total)
         text = self.text_of_word()
         good = np.arange(n) + size <= self.first[1:][text] if n else np.zeros(0, bool)

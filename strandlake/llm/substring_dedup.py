@@ -6,7 +6,7 @@
 3. Documents are dealt into buckets of some ``BUCKET`` bytes, where they meet the words of all recurring phrases of their
    bucket. A bucket compiles them into Aho-Corasick automata, shards of at most ``SHARD`` phrases, and streams all its
    texts through each: what the automata find is where the passages are.
-4. Windows whose selected phrase was found are compared by hash over all documents; each but the earliest is repeated.
+4. Windows whose selected phrase was found are compared by 128 bits of hash over all documents; each but the earliest is repeated.
 5. Words covered by a repeated window are removed.
 
 Exact copies of a text are judged once: the copy with the smallest doc_id stands for all, the others are repeated whole.
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, doc_order, materialize, mix, sliding_min, slices, text_key
+from .common import Words, doc_order, materialize, mix, sliding_min, slices, text_key, word_hashes
 
 #: words of a phrase, phrases of one automaton, and bytes of text in a bucket on average
 PHRASE, SHARD, BUCKET = 8, 8_192, 1 << 18
@@ -136,9 +136,9 @@ def locate(words: Words, raw: bytes, phrases: list[str]) -> np.ndarray:
 
 
 def _located(window: int):
-    """Texts, the rows that stand for theirs (doc_order, key) and the bucket's phrases (words) -> (part, later, doc_order, key, start, n).
+    """Texts, the rows that stand for theirs (doc_order, key) and the bucket's phrases (words) -> (part, check, later, doc_order, key, start, n).
 
-    The result are candidate windows; later ones are in runs of n starts.
+    Windows are compared by two hashes, part and check. The result are candidate windows; later ones are in runs of n starts.
     """
 
     def run(_, texts: pa.Table, given: pa.Table) -> pa.Table:
@@ -157,13 +157,13 @@ def _located(window: int):
             if not len(starts):
                 continue
             grams, _ = words.grams(window)
+            checks, _ = words.grams(window, word_hashes(data, words.start, words.end, seed=1))
             order, keys = (np.array(x, np.int64) for x in zip(*(rows[i] for i in mine[lo:hi]), strict=True))
             text = np.searchsorted(words.first, starts, "right") - 1
-            gram, doc, start = grams[starts].view(np.int64), order[text], starts - words.first[text]
+            gram, check, doc, start = grams[starts].view(np.int64), checks[starts].view(np.int64), order[text], starts - words.first[text]
             # of equal windows only the earliest here is compared with others'; the rest are later and dealt anywhere
-            by = np.lexsort((start, doc, gram))
-            same = gram[by]
-            head = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+            by = np.lexsort((start, doc, check, gram))
+            head = np.flatnonzero(np.concatenate(([True], (gram[by][1:] != gram[by][:-1]) | (check[by][1:] != check[by][:-1]))))
             head = np.repeat(head, np.diff(np.concatenate((head, [len(gram)]))))
             later = np.empty(len(gram), bool)
             later[by] = (doc[by] != doc[by][head]) | (start[by] != start[by][head])
@@ -171,15 +171,15 @@ def _located(window: int):
             begins = np.concatenate(([True], ~(later[1:] & later[:-1] & (text[1:] == text[:-1]) & (start[1:] == start[:-1] + 1))))
             at = np.flatnonzero(begins)
             n = np.diff(np.concatenate((at, [len(gram)])))
-            gram, doc, start, key, later = gram[at], doc[at], start[at], keys[text[at]], later[at]
+            gram, check, doc, start, key, later = gram[at], check[at], doc[at], start[at], keys[text[at]], later[at]
             part = np.where(later, mix((gram + doc * 31 + start).view(np.uint64)).view(np.int64), gram)
-            out.append(pa.table({"part": pa.array(part), "later": pa.array(later), "doc_order": pa.array(doc), "key": pa.array(key), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))}))
+            out.append(pa.table({"part": pa.array(part), "check": pa.array(check), "later": pa.array(later), "doc_order": pa.array(doc), "key": pa.array(key), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))}))
         return pa.concat_tables(out) if out else LOCATED.empty_table()
 
     return run
 
 
-LOCATED = pa.schema([("part", pa.int64()), ("later", pa.bool_()), ("doc_order", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+LOCATED = pa.schema([("part", pa.int64()), ("check", pa.int64()), ("later", pa.bool_()), ("doc_order", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def _cut(window: int, inner: list[str], names: list[str]):
@@ -244,9 +244,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
     none = F.lit(None).cast("long")
     given = recurring.join(spoken, "phrase").select(bucket, none.alias("doc_order"), none.alias("key"), "words").distinct()
     given = given.unionByName(firsts.withColumn("words", F.lit(None).cast("string")))
-    located = dealt.cogroup(given.groupBy("bucket")).applyInArrow(_located(window), "part long, later boolean, doc_order long, key long, start int, n int")
+    located = dealt.cogroup(given.groupBy("bucket")).applyInArrow(_located(window), "part long, check long, later boolean, doc_order long, key long, start int, n int")
     at = F.struct("doc_order", "start")
-    first = located.withColumn("first", F.min(at).over(Window.partitionBy("part", "later")))
+    first = located.withColumn("first", F.min(at).over(Window.partitionBy("part", "check", "later")))
     repeated = first.where(F.col("later") | (at > F.col("first"))).select(bucket, "doc_order", "key", "start", "n")
     # a whole copy of an earlier text: its order is not the least of its key
     given = repeated.unionByName(firsts.select("*", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("n")))

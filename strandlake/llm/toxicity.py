@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, slices
+from .common import LETTER_BYTES, Words, materialize, slices
 
 #: labelled rows used for fitting at most, features, and least number of distinct texts that hold a feature
 TRAIN_ROWS, FEATURES, LEAST_TEXTS = 20_000, 1024, 5
@@ -49,7 +49,7 @@ def counts_of(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _parse(text: pa.Array):
     for lo, hi, data, offsets in slices(text):
-        yield lo, hi, Words(data, offsets, lower=True, letters=True)
+        yield lo, hi, Words(data, offsets, lower=True, of=LETTER_BYTES)
 
 
 def _sketches(batches):

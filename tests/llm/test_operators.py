@@ -357,3 +357,27 @@ def test_one_of_each_class_with_repeated_and_null_ids(spark):
     out = corpus_pipeline.one_of_each_class(spark, docs, "").collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "2", "4", "4", "5", "6", "7", "None", "None"]
     assert {r.source for r in out} >= {"s0", "s10", "s11", "s12", "s13", "s14", "s15"}
+
+
+def _thue_morse(n=1024):
+    """A word of a and b and its complement, which sums of letters by powers of an odd number modulo 2^64 cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    one, two = _thue_morse()
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85).collect()) == [(1, 1), (2, 2)]
+    same = [f"w{i}" for i in range(20)]
+    texts = [" ".join([*same, *(f"x{i}" for i in range(10)), w, *(f"y{i}" for i in range(9))]) for w in (one, two)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()) == [(0, 0), (1, 30)]
+
+
+def test_pipeline_keeps_words_that_a_polynomial_cannot_tell_apart(spark):
+    import corpus_pipeline
+
+    one, two = _thue_morse()
+    df = spark.createDataFrame([(1, one, "en", "s", 1024), (2, two, "en", "s", 1024)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_class(spark, df, "").collect()) == [1, 2]
