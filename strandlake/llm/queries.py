@@ -1,6 +1,6 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import fill_in_middle, fingerprints, jaccard_join, packing, pii, quality, sentencepiece_codec, sharding, substring_dedup, topk, toxicity, warc
+from . import fill_in_middle, fingerprints, jaccard_join, packing, pii, quality, ranked_search, sentencepiece_codec, sharding, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_quality_rules": quality.op12_quality_rules,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
-ORACLE_SQL = {"op6_warc": warc.OP6_SQL, "op7_exact_topk": topk.OP7_SQL, "op11_fill_in_middle": fill_in_middle.OP11_SQL, "op12_quality_rules": quality.OP12_SQL}
+ORACLE_SQL = {"op6_warc": warc.OP6_SQL, "op7_exact_topk": topk.OP7_SQL, "op11_fill_in_middle": fill_in_middle.OP11_SQL, "op12_quality_rules": quality.OP12_SQL, "op13_ranked_search": ranked_search.OP13_SQL}

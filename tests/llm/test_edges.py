@@ -42,13 +42,15 @@ def awkward(spark, tmp_path_factory):
     _save(spark, f"{d}/pages.parquet", pages, "page_id long, url string, html string", **CLASH)
     vectors = [(i * 50, [1.0, float(i % 3), -2.0]) for i in range(12)] + [(7, None), (8, []), (9, [float("nan"), 1.0, 1.0]), (100, [1.0, 1.0, -2.0]), (11, [None, 1.0, 1.0])]
     _save(spark, f"{d}/embeddings.parquet", [*vectors, vectors[1]], "vec_id long, embedding array<double>", **CLASH)
+    items = [(1, one), (1, "pq1 pq2"), (None, two), (2, None), (3, ""), (4, two), (4, two), (5, "nowhere found")]
+    _save(spark, f"{d}/benchmark.parquet", items, "item_id long, text string", **CLASH)
     return d, rows, pages
 
 
 @pytest.fixture(scope="module")
 def empty(spark, awkward, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{awkward[0]}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
