@@ -381,3 +381,23 @@ def test_pipeline_keeps_words_that_a_polynomial_cannot_tell_apart(spark):
     one, two = _thue_morse()
     df = spark.createDataFrame([(1, one, "en", "s", 1024), (2, two, "en", "s", 1024)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_class(spark, df, "").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("block", [1 << 25, 200])
+def test_top_k_of_null_large_and_repeated_ids_equals_sql(spark, tmp_path, monkeypatch, block):
+    import duckdb
+
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block)
+    rng = np.random.default_rng(9)
+    big = 1 << 60
+    ids = [None, None, big + 1, big + 3, big + 16, big + 16, 100, 100, 100, 200, *range(1, 40), *range(1000, 1400, 50)]
+    rows = [(i, (rng.integers(-3, 4, 6) / 4).tolist()) for i in ids] + [(300, [1.0, 2.0]), (301, [2.0, 2.0]), (400, []), (500, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = con.execute(topk.OP7_SQL).fetchall()
+    out = topk.op7_exact_topk(spark, str(tmp_path))
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    assert sum(r[0] == 100 and r[1] == 1 for r in expected) == 3 and {r[2] for r in expected} >= {big + 1, big + 3}
