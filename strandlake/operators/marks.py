@@ -67,12 +67,12 @@ def _hash(v: np.ndarray, seed: int, k: int) -> np.ndarray:
     return (high ^ (low & (mask ^ s))) << k | (low ^ (high & s))
 
 
-def _medians(k: int, read_len: int, seed: int, chunk: int, most: int = 1 << 16):
-    """Chunks with the bases before them -> marks. The chunks of a batch lie behind each other, and windows that span two are left out."""
+def _medians(k: int, read_len: int, seed: int, most: int = 1 << 16):
+    """Chunks (offset of their own bases in the contig) with the bases before them -> marks. The chunks of a batch lie behind each other, and windows that span two are left out."""
     window = read_len + 1 - k
     width = 2 * window
 
-    def found(digits: np.ndarray, first: np.ndarray, before: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    def found(digits: np.ndarray, first: np.ndarray, before: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, o, ori, k-mer) of the medians of the windows of some rows; first: where each row's digits begin."""
         n = len(digits) - k + 1
         if n < window:
@@ -84,7 +84,7 @@ def _medians(k: int, read_len: int, seed: int, chunk: int, most: int = 1 << 16):
             rc |= (base ^ 2) << (2 * (k - 1 - j))
         # a k-mer stands where its first base is; o is its last base's place in the contig
         row = np.searchsorted(first, np.arange(n), "right") - 1
-        o = np.arange(n) - first[row] + number[row] * chunk - before[row] + k
+        o = np.arange(n) - first[row] + offset[row] - before[row] + k
         ring = (o - k) % window
         # one number orders a candidate, by hash and place in the ring, and gives back its place, strand and (the hash being its own inverse) k-mer
         code = np.stack([_hash(dna, seed, k) * width + ring * 2, _hash(rc, seed, k) * width + ring * 2 + 1], 1).ravel()
@@ -99,7 +99,7 @@ def _medians(k: int, read_len: int, seed: int, chunk: int, most: int = 1 << 16):
         at = end - (ring[end] - s // 2) % window
         # each mark once, by the first of its windows, in the chunk where that one ends
         _, once = np.unique(at * 2 + s % 2, return_index=True)
-        once = once[o[end[once]] > number[row[end[once]]] * chunk]
+        once = once[o[end[once]] > offset[row[end[once]]]]
         at, s, middle = at[once], s[once], middle[once]
         return row[at], o[at], s % 2, _hash(middle // width, seed, k)
 
@@ -110,11 +110,11 @@ def _medians(k: int, read_len: int, seed: int, chunk: int, most: int = 1 << 16):
                 continue
             offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
             data = np.frombuffer(part.buffers()[2], np.uint8) - 48
-            before, number, twobit = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("before", "chunk", "twobit"))
+            before, offset, twobit = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("before", "offset", "twobit"))
             lo = 0
             while lo < len(part):
                 hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-                row, o, ori, value = found(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], before[lo:hi], number[lo:hi])
+                row, o, ori, value = found(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], before[lo:hi], offset[lo:hi])
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([batch.column("record_ix").take(take), batch.column("contig_ix").take(take), pa.array(twobit[row + lo] + o), pa.array(ori.astype(np.int32)), pa.array(value)], names=["record_ix", "contig_ix", "pos", "ori", "kmer"])
                 lo = hi
@@ -128,9 +128,20 @@ def median_marks(found: DataFrame, k: int, read_len: int, seed: int, chunk: int
     Both strands of the last read_len + 1 - k positions make a window; equal hashes go by their place in a ring of the
     window's width. Windows are independent, so contigs are worked in chunks behind the bases that their windows need.
     """
-    rows = chunks(found.where(F.col("length") >= read_len), chunk, 2 * (read_len - k) + k - 1)
-    contig = dict(found.dtypes)["contig_ix"]
-    return rows.mapInArrow(_medians(k, read_len, seed, chunk), f"record_ix long, contig_ix {contig}, pos long, ori int, kmer long")
+    rows = chunks(found.where(F.col("length") >= read_len), chunk, halo(k, read_len))
+    return marks_of_chunks(rows.withColumn("offset", F.col("chunk") * chunk), k, read_len, seed)
+
+
+def halo(k: int, read_len: int) -> int:
+    """Bases ahead of a chunk that its windows need."""
+    return 2 * (read_len - k) + k - 1
+
+
+def marks_of_chunks(rows: DataFrame, k: int, read_len: int, seed: int) -> DataFrame:
+    """``median_marks`` of chunks (record_ix, contig_ix, twobit, offset, before, part): offset is where the own bases begin in the contig."""
+    contig = dict(rows.dtypes)["contig_ix"]
+    rows = rows.select("record_ix", "contig_ix", "twobit", "offset", "before", "part")
+    return rows.mapInArrow(_medians(k, read_len, seed), f"record_ix long, contig_ix {contig}, pos long, ori int, kmer long")
 
 
 def without_recurrence(marks: DataFrame, max_dist: int, bits: int | None = None) -> DataFrame:
@@ -213,12 +224,20 @@ def chains(marks: DataFrame, max_dist: int) -> DataFrame:
 
 def postings(marks: DataFrame, max_dist: int) -> DataFrame:
     """(kmer, ext, pos, ori, dup, repetitive): kept occurrences numbered from 0; dup but for the last; repetitive if it stands for others."""
-    return chains(marks, max_dist).select("kmer", "ext", "pos", "ori", "dup", (F.col("others") > 0).alias("repetitive"))
+    return postings_of(chains(marks, max_dist))
+
+
+def postings_of(linked: DataFrame) -> DataFrame:
+    return linked.select("kmer", "ext", "pos", "ori", "dup", (F.col("others") > 0).alias("repetitive"))
 
 
 def repeats(marks: DataFrame, max_dist: int) -> DataFrame:
     """(kmer, pos, period, extent): for kept occurrences that stand for others, the distances to the first and the last of them."""
-    return chains(marks, max_dist).where("others > 0").select("kmer", "pos", "period", "extent")
+    return repeats_of(chains(marks, max_dist))
+
+
+def repeats_of(linked: DataFrame) -> DataFrame:
+    return linked.where("others > 0").select("kmer", "pos", "period", "extent")
 
 
 def top_periods(found: DataFrame, most: int = 20) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kmer
-from ..operators import contigs, mapping, marks, slots
-from ..sources import fastx
+from ..operators import contigs, mapping, marks, packed, pieces, slots
+from ..sources import fasta, fastq, fastx
 from .tables import shared_path
 
 #: window queries: k, read_len, seed, max_dist; mapping queries likewise
@@ -68,8 +68,13 @@ def record_summary(spark, sf_dir):
     return contigs.record_summary(_codes(spark, sf_dir, code=kmer.strict))
 
 
+def _packed(spark, sf_dir) -> DataFrame:
+    return packed.pack(contigs.base_chunks(_contigs(spark, sf_dir), packed.SIZE, packed.OVERLAP))
+
+
 def kmers_canonical(spark, sf_dir):
-    rows = marks.kmers(_contigs(spark, sf_dir), LARGE[0])
+    """k-mers read from bases that are stored four to a byte."""
+    rows = packed.kmers(_packed(spark, sf_dir), LARGE[0])
     return rows.select("record_ix", "pos", "dna", "rc", kmer.canonical(F.col("dna"), F.col("rc")).alias("canonical"), F.when(kmer.is_template(F.col("dna"), F.col("rc")), 1).otherwise(0).alias("template"))
 
 
@@ -167,7 +172,7 @@ def kmer_interval(spark, sf_dir):
 
 def base_range_scan(spark, sf_dir):
     at = _located(spark, sf_dir).select("record_ix", "contig_ix", "pos", "ori", (F.col("pos") - LARGE[0]).alias("lo"), F.col("pos").alias("hi"))
-    return contigs.range_scan(at, _contigs(spark, sf_dir)).select("pos", "ori", "bases")
+    return packed.range_scan(at, _packed(spark, sf_dir)).select("pos", "ori", "bases")
 
 
 def map_reads(spark, sf_dir):
@@ -259,13 +264,41 @@ def read_pairs(spark, sf_dir):
     return fastx.read_pairs(spark, *paths)
 
 
+def fastq_scan(spark, sf_dir):
+    """Documents as reads in several files, read in ranges that begin anywhere."""
+    path = _scratch(spark, "fastq")
+    seq = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    fastx.write_fastq(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_ix"), F.concat(F.lit("r"), "doc_id").alias("name"), seq.alias("seq"), F.translate(seq, "abc", "@+@").alias("qual")), path)
+    return fastq.scan_fastq(spark, path, 1 << 18).drop("file_ix")
+
+
+def _in_pieces(spark, sf_dir) -> DataFrame:
+    """Documents as FASTA records (letters and full stops), read in ranges and pieces far shorter than the long ones."""
+    path = _scratch(spark, "fasta")
+    seq = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z.]", "")
+    fastx.write_fasta(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_ix"), F.concat(F.lit("r"), "doc_id").alias("name"), F.lit(None).cast("string").alias("description"), seq.alias("seq")), path)
+    return pieces.runs(fasta.scan_fasta(spark, path, 1 << 18, 1 << 11)[1], kmer.synthetic)
+
+
+def long_contigs(spark, sf_dir):
+    """Contigs of records in pieces."""
+    return pieces.contig_rows(_in_pieces(spark, sf_dir))
+
+
+def long_marks(spark, sf_dir):
+    """Window medians of records in pieces."""
+    k, read_len, seed, _ = SMALL
+    cells = pieces.cells(_in_pieces(spark, sf_dir), marks.CHUNK, before=marks.halo(k, read_len))
+    return marks.marks_of_chunks(cells.withColumn("offset", F.col("own") - F.col("twobit")), k, read_len, seed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__ if f is not contig_table else "contigs": f
     for f in (
         base_composition, base_encode_nibble, contig_table, contig_lengths, contig_terminals, record_summary, kmers_canonical, kmer_spectrum, xmer_hash, extend_slot, xmer_unhash, pack_unpack_location,
         window_candidates, median_marks, marks_per_record, recurrence_filter, multimap_chain, repetitive_kept, repeat_period_top20, slot_route_histogram, slot_table, slot_overflow, slot_stats, pos_to_contig,
         kmer_interval, base_range_scan, map_reads, map_summary, reconstruct_check, fasta_roundtrip, fastq_roundtrip, read_pairs,
-        record_report, index_counts, base_functions, xmer_location, location_functions, posting_distances,
+        record_report, index_counts, base_functions, xmer_location, location_functions, posting_distances, fastq_scan, long_contigs, long_marks,
     )
 } | {"postings": posting_lists}
 
@@ -406,7 +439,12 @@ def _packed_sql() -> str:
 _LOCATED = f"{_POST}, {_contig_sql().lstrip()}, lo AS (SELECT pl.kmer, pl.pos, pl.ori, ct.twobit FROM pl JOIN ct ON pl.pos > ct.twobit AND pl.pos <= ct.twobit + ct.length)"
 _CANONICAL = "CASE WHEN dna < rc OR (dna = rc AND dna & 1 = 1) THEN dna ELSE rc END"
 
+_LETTERS = "(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z.]', '', 'g') AS text FROM documents)"
+
 ORACLE_SQL: dict[str, str] = {
+    "fastq_scan": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS read_ix, 'r' || doc_id AS name, seq, translate(seq, 'abc', '@+@') AS qual FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq FROM documents)",
+    "long_contigs": f"{_with(_bases(table=_LETTERS), _contig_sql())} SELECT * FROM ct",
+    "long_marks": f"{_with(_marks_sql(SMALL, table=_LETTERS), _contig_sql())} SELECT ct.record_ix, ct.contig_ix, mk.pos, mk.ori, mk.kmer FROM mk JOIN ct ON ct.record_ix = mk.r AND mk.pos > ct.twobit AND mk.pos <= ct.twobit + ct.length",
     "base_composition": _composition_sql(_STRICT),
     "base_encode_nibble": _composition_sql(_NIBBLE),
     "contigs": f"{_CONTIGS} SELECT * FROM ct",
