@@ -5,11 +5,14 @@ advance together: substrings are hashed from prefix hashes, the hashes probe the
 maxima store backpointers (``viterbi``): the pieces with the greatest sum of scores. That is how a unigram model encodes.
 A BPE model has scores too, and its best sum is given for it as well; but its own ids come from merges, so beside them
 the same probing and maxima choose the merges (``merge``), which gives the ids of the library.
-Characters outside the vocabulary fall back to byte pieces.
+Characters outside the vocabulary fall back to byte pieces. Both read one table of known substrings. A unit over ``LONG``
+characters goes alone, through its known substrings and a heap of pairs, in time that grows as its length.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import zlib
 
@@ -24,6 +27,8 @@ SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: units kept in the cache of a process, and units that advance together
 CACHE, BATCH = 200_000, 4096
+#: a unit of more characters is encoded alone; first bits by which keys are found
+LONG, HEAD = 512, 17
 #: if these normalise to themselves but for spaces, the model has no rules of its own
 PROBES = ("", " ", "a  b ", "\t\r\n x", "ﬁ ＡＢ Å Å é e\u0301", "\u00a0\u3000\u200b\u00ad½ ① ㌀", "A\x00\x07", "ß ſ İ ΐ 한 한")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -33,14 +38,6 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _MULT, np.uint64))), dtype=np.uint64)
 
 
-def prefix_hashes(codes: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of all prefixes of the rows of ``codes`` (words x length)."""
-    out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    for i in range(codes.shape[1]):
-        out[:, i + 1] = out[:, i] * _MULT + codes[:, i].astype(np.uint64) + np.uint64(1)
-    return out
-
-
 class Pieces:
     """Vocabulary: sorted hashes of pieces with their ids and scores, ids of the byte pieces, and what each id decodes to."""
 
@@ -55,6 +52,10 @@ class Pieces:
             raise ValueError("two pieces share a hash")
         self.keys, self.ids = hashes[order], np.array(normal, np.int64)[order]
         self.scores = np.array([scores[i] for i in normal])[order]
+        # where the keys of each head of bits begin, and the longest run of keys of one head
+        heads = (self.keys >> np.uint64(64 - HEAD)).astype(np.int64)
+        self.head = np.searchsorted(heads, np.arange((1 << HEAD) + 1)).astype(np.int32)
+        self.run = int(np.diff(self.head).max(initial=0))
         self.bytes = np.full(256, kinds.index("unknown") if "unknown" in kinds else 0, np.int64)
         for i, k in enumerate(kinds):
             if k == "byte":
@@ -81,34 +82,68 @@ class Pieces:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash among the sorted keys, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+        """Place of each hash among the sorted keys, or -1: the few keys that share its first bits are compared."""
+        head = (hashes >> np.uint64(64 - HEAD)).astype(np.int64)
+        at, end = self.head[head], self.head[head + 1]
+        out = np.full(hashes.shape, -1, np.int32)
+        for _ in range(self.run):
+            live = np.flatnonzero(at < end)
+            if not len(live):
+                break
+            hit = live[self.keys[at[live]] == hashes[live]]
+            out[hit] = at[hit]
+            at[hit] = end[hit]
+            at += 1
+        return out
+
+    def table(self, codes: np.ndarray) -> np.ndarray:
+        """[row, end - 1, longest - length]: place of each substring of up to ``longest`` characters among the keys, or -1. Both encodings read it."""
+        rows, length = codes.shape
+        prefix, out = prefix_hashes(codes), np.full((rows, length, self.longest), -1, np.int32)
+        for n in range(1, min(self.longest, length) + 1):
+            hashes = mix(prefix[:, n:] - prefix[:, :-n] * self.powers[n])
+            out[:, n - 1 :, self.longest - n] = self.probe(hashes.ravel()).reshape(rows, -1)
+        return out
 
-    def spans(self, prefix: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        length = np.clip(end - start, 0, len(self.powers) - 1)
-        found = self.probe(mix(prefix[row, end] - prefix[row, start] * self.powers[length]))
-        return np.where(end - start <= self.longest, found, -1)
+
+def _spans(table: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    longest = table.shape[2]
+    length = end - start
+    return np.where((length > 0) & (length <= longest), table[row, np.maximum(end - 1, 0), np.maximum(longest - length, 0) % longest], -1)
+
+
+def prefix_hashes(codes: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of all prefixes of the rows of ``codes`` (words x length)."""
+    rows, length = codes.shape
+    out = np.zeros((rows, length + 1), np.uint64)
+    if rows >= length:
+        for i in range(length):
+            out[:, i + 1] = out[:, i] * _MULT + codes[:, i].astype(np.uint64) + np.uint64(1)
+    else:  # few long rows: sums of characters by powers of the inverse, brought back by powers
+        inverse = np.cumprod(np.full(length, pow(int(_MULT), -1, 1 << 64), np.uint64), dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * inverse, axis=1, dtype=np.uint64, out=out[:, 1:])
+        out[:, 1:] *= _powers(length)[1:]
+    return out
 
 
-def viterbi(codes: np.ndarray, pieces: Pieces, unknown: float = -100.0) -> np.ndarray:
+def viterbi(codes: np.ndarray, pieces: Pieces, unknown: float = -100.0, table: np.ndarray | None = None) -> np.ndarray:
     """Ends of the best pieces of each row, as a mask over positions 1..length: greatest sum of scores, all rows at once.
 
     ``unknown`` is the score of a single character outside the vocabulary. Of equal sums the longest last piece wins.
     """
     rows, length = codes.shape
-    prefix, every = prefix_hashes(codes), np.arange(rows)
-    best = np.full((rows, length + 1), -np.inf)
-    best[:, 0] = 0
+    table = pieces.table(codes) if table is None else table
+    every, longest = np.arange(rows), pieces.longest
+    score = np.where(table >= 0, pieces.scores[table], -np.inf)
+    score[:, :, -1] = np.where(table[:, :, -1] >= 0, score[:, :, -1], unknown)
+    # sums up to each end, behind as many places that nothing reaches
+    best = np.full((rows, longest + length + 1), -np.inf)
+    best[:, longest] = 0
     back = np.zeros((rows, length + 1), np.int64)
     for end in range(1, length + 1):
-        starts = np.arange(max(0, end - pieces.longest), end)
-        grid = pieces.spans(prefix, np.repeat(every, len(starts)), np.tile(starts, rows), np.full(rows * len(starts), end)).reshape(rows, -1)
-        score = np.where(grid >= 0, pieces.scores[grid], -np.inf)
-        score[:, -1] = np.where(grid[:, -1] >= 0, score[:, -1], unknown)
-        score = score + best[:, starts]
-        pick = score.argmax(1)
-        best[:, end], back[:, end] = score[every, pick], starts[pick]
+        sums = score[:, end - 1] + best[:, end : end + longest]
+        pick = sums.argmax(1)
+        best[:, longest + end], back[:, end] = sums[every, pick], end - longest + pick
     mask, at = np.zeros((rows, length), bool), np.full(rows, length)
     while (at > 0).any():
         mask[every[at > 0], at[at > 0] - 1] = True
@@ -116,10 +151,66 @@ def viterbi(codes: np.ndarray, pieces: Pieces, unknown: float = -100.0) -> np.nd
     return mask
 
 
-def merge(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
+def viterbi_long(table: np.ndarray, pieces: Pieces, unknown: float = -100.0) -> np.ndarray:
+    """``viterbi`` of one long row, from its known spans alone."""
+    length, longest = table.shape[1:]
+    end, place = np.nonzero(table[0] >= 0)
+    spans = zip((end + 1).tolist(), (end + 1 - longest + place).tolist(), pieces.scores[table[0][end, place]].tolist(), strict=True)
+    best, back = [0.0, *[-math.inf] * length], [0] * (length + 1)
+    known = (table[0, :, -1] >= 0).tolist()
+    span = next(spans, None)
+    for e in range(1, length + 1):
+        top, where = -math.inf, 0
+        while span is not None and span[0] == e:  # the longest first
+            value = best[span[1]] + span[2]
+            if value > top:
+                top, where = value, span[1]
+            span = next(spans, None)
+        if not known[e - 1] and best[e - 1] + unknown > top:
+            top, where = best[e - 1] + unknown, e - 1
+        best[e], back[e] = top, where
+    mask, at = np.zeros((1, length), bool), length
+    while at > 0:
+        mask[0, at - 1] = True
+        at = back[at]
+    return mask
+
+
+def merge_long(table: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """``merge`` of one long row, by a heap of pairs: the best-scored leftmost one first; a pair that has changed since is left."""
+    length, longest = table.shape[1:]
+    end, ahead, alive = list(range(1, length + 1)), list(range(-1, length)), [True] * length
+    at = np.flatnonzero(table[0, 1:, longest - 2] >= 0) if longest > 1 else np.zeros(0, np.int64)
+    heap = list(zip((-pieces.scores[table[0, at + 1, longest - 2]]).tolist(), at.tolist(), (at + 2).tolist(), strict=True)) if len(at) else []
+    heapq.heapify(heap)
+    scores, found = pieces.scores, table[0]
+
+    def offer(left: int, to: int) -> None:
+        if to - left <= longest:
+            place = found[to - 1, longest - (to - left)]
+            if place >= 0:
+                heapq.heappush(heap, (-float(scores[place]), left, to))
+
+    while heap:
+        _, left, to = heapq.heappop(heap)
+        right = end[left]
+        if not alive[left] or right >= length or end[right] != to:
+            continue
+        end[left], alive[right] = to, False
+        if to < length:
+            ahead[to] = left
+            offer(left, end[to])
+        if ahead[left] >= 0:
+            offer(ahead[left], to)
+    mask = np.zeros((1, length), bool)
+    mask[0, [e - 1 for e, a in zip(end, alive, strict=True) if a]] = True
+    return mask
+
+
+def merge(codes: np.ndarray, pieces: Pieces, table: np.ndarray | None = None) -> np.ndarray:
     """Ends of the pieces of each row, as a mask: in every step each row merges its best-scored leftmost pair of neighbours."""
     rows, length = codes.shape
-    prefix = prefix_hashes(codes)
+    table = pieces.table(codes) if table is None else table
     # edges[i, j]: start of the j-th symbol; behind the last symbol: length
     edges = np.tile(np.arange(length + 1), (rows, 1))
     active = np.arange(rows)
@@ -129,11 +220,9 @@ def merge(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
         width = edges.shape[1] - 2
         if width < 1:
             break
-        row = np.repeat(active, width)
-        start, end = edges[:, :-2].ravel(), edges[:, 2:].ravel()
         if rank is None:
-            found = pieces.spans(prefix, row, start, end)
-            rank = np.where((found >= 0) & (edges[:, 1:-1].ravel() < edges[:, 2:].ravel()), pieces.scores[found], -np.inf).reshape(-1, width)
+            found = _spans(table, np.repeat(active, width), edges[:, :-2].ravel(), edges[:, 2:].ravel())
+            rank = np.where(found >= 0, pieces.scores[found], -np.inf).reshape(-1, width)
         pick = rank.argmax(1)
         able = rank[np.arange(len(active)), pick] > -np.inf
         final[active[~able], :] = length
@@ -149,7 +238,7 @@ def merge(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
             j = pick + shift
             ok = (j >= 0) & (j < rank.shape[1])
             i, j = np.flatnonzero(ok), j[ok]
-            found = pieces.spans(prefix, active[i], edges[i, j], edges[i, j + 2])
+            found = _spans(table, active[i], edges[i, j], edges[i, j + 2])
             rank[i, j] = np.where(found >= 0, pieces.scores[found], -np.inf)
     if len(active):
         final[active, :] = length
@@ -159,34 +248,48 @@ def merge(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
     return mask[:, 1:]
 
 
-def encode_units(units: list[str], pieces: Pieces, best: bool = True) -> list[np.ndarray]:
-    """Ids of each unit: of the greatest sum of scores (``best``), or by merges."""
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+def encode_kinds(units: list[str], pieces: Pieces, kinds: tuple[bool, ...] = (True, False)) -> list[list[np.ndarray]]:
+    """For each kind the ids of every unit: of the greatest sum of scores (True), or by merges (False).
+
+    Units of one length advance together and look up their substrings once for all kinds; one over ``LONG`` characters goes alone.
+    """
+    out = [[np.zeros(0, np.int32)] * len(units) for _ in kinds]
     lengths = np.array([len(u) for u in units])
     for n in np.unique(lengths).tolist():
         which = np.flatnonzero(lengths == n)
-        for lo in range(0, len(which), max(1, BATCH * 8 // n)):
-            at = which[lo : lo + max(1, BATCH * 8 // n)]
+        together = 1 if n > LONG else max(1, BATCH * 8 // n)
+        for lo in range(0, len(which), together):
+            at = which[lo : lo + together]
             codes = np.frombuffer("".join(units[i] for i in at.tolist()).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.int64)
-            mask = viterbi(codes, pieces) if best else merge(codes, pieces)
-            row, end = np.nonzero(mask)
-            end = end + 1
-            start = np.concatenate(([0], end[:-1]))
-            start[np.concatenate(([True], row[1:] != row[:-1]))] = 0
-            found = pieces.spans(prefix_hashes(codes), row, start, end)
-            ids = np.where(found >= 0, pieces.ids[found], -1).astype(np.int32)
-            first = np.searchsorted(row, np.arange(len(at) + 1))
-            missing = np.zeros(len(at), bool)
-            missing[row[ids < 0]] = True
-            for k, i in enumerate(at.tolist()):
-                own = ids[first[k] : first[k + 1]]
-                if missing[k]:
-                    parts = [[x] if x >= 0 else pieces.bytes[list(units[i][s:e].encode())].tolist() for x, s, e in zip(own.tolist(), start[first[k] : first[k + 1]].tolist(), end[first[k] : first[k + 1]].tolist(), strict=True)]
-                    own = np.array([x for p in parts for x in p], np.int32)
-                out[i] = own
+            table = pieces.table(codes)
+            for best, ids_of in zip(kinds, out, strict=True):
+                if n > LONG:
+                    mask = viterbi_long(table, pieces) if best else merge_long(table, pieces)
+                else:
+                    mask = viterbi(codes, pieces, table=table) if best else merge(codes, pieces, table)
+                row, end = np.nonzero(mask)
+                end = end + 1
+                start = np.concatenate(([0], end[:-1]))
+                start[np.concatenate(([True], row[1:] != row[:-1]))] = 0
+                found = _spans(table, row, start, end)
+                ids = np.where(found >= 0, pieces.ids[found], -1).astype(np.int32)
+                first = np.searchsorted(row, np.arange(len(at) + 1))
+                missing = np.zeros(len(at), bool)
+                missing[row[ids < 0]] = True
+                for k, i in enumerate(at.tolist()):
+                    own = ids[first[k] : first[k + 1]]
+                    if missing[k]:
+                        parts = [[x] if x >= 0 else pieces.bytes[list(units[i][s:e].encode())].tolist() for x, s, e in zip(own.tolist(), start[first[k] : first[k + 1]].tolist(), end[first[k] : first[k + 1]].tolist(), strict=True)]
+                        own = np.array([x for p in parts for x in p], np.int32)
+                    ids_of[i] = own
     return out
 
 
+def encode_units(units: list[str], pieces: Pieces, best: bool = True) -> list[np.ndarray]:
+    """Ids of each unit: of the greatest sum of scores (``best``), or by merges."""
+    return encode_kinds(units, pieces, (best,))[0]
+
+
 class Units:
     """Ids of known units behind each other in one flat array."""
 
@@ -227,9 +330,10 @@ class Codec:
         new = list({u for us in units for u in us}.difference(self.known))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.best.add(encode_units(new, self.pieces))
-            if self.pieces.is_bpe:
-                self.own.add(encode_units(new, self.pieces, best=False))
+            best, *own = encode_kinds(new, self.pieces, (True, False) if self.pieces.is_bpe else (True,))
+            self.best.add(best)
+            for ids in own:
+                self.own.add(ids)
         at = [np.fromiter(map(self.known.__getitem__, us), np.int64, len(us)) for us in units]
         best = [self.best.of(x) for x in at]
         return best, [self.own.of(x) for x in at] if self.pieces.is_bpe else best

@@ -401,3 +401,33 @@ def test_top_k_of_null_large_and_repeated_ids_equals_sql(spark, tmp_path, monkey
     assert out.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, out.collect())) == sorted(expected)
     assert sum(r[0] == 100 and r[1] == 1 for r in expected) == 3 and {r[2] for r in expected} >= {big + 1, big + 3}
+
+
+def test_long_units_are_encoded_like_short_ones(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load(path))
+    rng = random.Random(8)
+    units = ["▁" + "".join(rng.choice("etaoinshrdluéß日#") for _ in range(n)) for n in (2, 3, 30, 200, 511, 512)] + ["a" * 300, "▁" * 70, "日" * 40, "thethethe" * 40]
+    short = sentencepiece_codec.encode_kinds(units, codec.pieces)
+    monkeypatch.setattr(sentencepiece_codec, "LONG", 1)
+    long = sentencepiece_codec.encode_kinds(units, codec.pieces)
+    for a, b in zip(short, long, strict=True):
+        assert all(x.tolist() == y.tolist() for x, y in zip(a, b, strict=True))
+    monkeypatch.undo()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in ("".join(rng.choice("etaoinshrdlu") for _ in range(64_000)), "x" * 20_000, "ab" * 5000 + "é日" * 300):
+        best, own = codec.encode_both([text])
+        assert own[0].tolist() == library.encode(text)
+        assert codec.decode(best[0]) == text
+
+
+def test_a_million_letters_without_space():
+    import time
+
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+    text = "".join(random.Random(1).choices("etaoinshrdlucmfw", k=1_000_000))
+    began = time.time()
+    best, own = codec.encode_both([text])
+    assert time.time() - began < 120 and codec.decode(own[0]) == text and codec.decode(best[0]) == text
