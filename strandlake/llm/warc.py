@@ -23,8 +23,10 @@ from .common import materialize, shared_dir
 END = "\r\n\r\n"
 #: captures with shorter payloads are stored whole each time
 LEAST_REVISIT = 100
-#: captures in one archive file at most
-PER_FILE = 10_000
+#: bytes of an archive file at most (one capture may have more), of a run of captures that is written at once, and of payloads in a batch that is read
+FILE_BYTES, RUN_BYTES, BATCH_BYTES = 64 << 20, 4 << 20, 8 << 20
+#: bytes that a capture has besides its payload and three times its address, at most
+HEADERS = 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -41,25 +43,35 @@ def _record(kind: Column | str, record_id: Column, uri: Column, date: Column, fi
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)  # concat_ws leaves out null lines
 
 
-def _members(batches):
-    """(three records) -> each as a gzip member, the last byte (zero) left to the writer."""
-    for batch in batches:
-        out = []
-        for i in range(len(batch)):
-            members = []
-            for column in batch.columns:
-                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                raw = memoryview(column[i].as_buffer())
-                members.append(pack.compress(raw) + pack.flush())
-                if members[-1][-1]:  # a record of 16 MiB or more: an empty member ends it with a zero byte
+def _members(run_bytes: int):
+    """(three records) -> runs of gzip members, a capture whole in one; the last byte of a run (zero) is left to the writer."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i in range(len(batch)):
+                members = []
+                for column in batch.columns:
                     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    members.append(pack.compress(b"") + pack.flush())
-            out.append(b"".join(members)[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    raw = memoryview(column[i].as_buffer())
+                    members.append(pack.compress(raw) + pack.flush())
+                    if members[-1][-1]:  # a record of 16 MiB or more: an empty member ends it with a zero byte
+                        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                        members.append(pack.compress(b"") + pack.flush())
+                one = sum(map(len, members))
+                if held and size + one > run_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+                    held, size = [], 0
+                held += members
+                size += one
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = PER_FILE) -> None:
-    """Write (page_id, url, html) as WARC files of gzip members.
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, per_file: int | None = None) -> None:
+    """Write (page_id, url, html) as WARC files of gzip members, each file at most ``file_bytes`` long unless a single capture is longer, and of ``per_file`` captures at most if given.
 
     Of records with equal payloads of LEAST_REVISIT bytes or more, the one with the least page_id is a response and the
     others revisit it. A null html is an empty payload, a null url an empty target; a null page_id is stored as none and
@@ -88,8 +100,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         ), end).alias("response"),
         F.concat(_record("metadata", _id("metadata", own), uri, when, [("WARC-Concurrent-To", response)], F.concat(F.lit("page-id: "), page, F.lit("\r\n")), "application/warc-fields"), end).alias("metadata"),
     )
-    members = records.mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+    # a file is so many runs of captures, each as long as the longest capture may be at most; a gzip member is hardly longer than what it holds
+    longest = pages.agg(F.max(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)))).first()[0] or 0
+    together = 1 if per_file else min(RUN_BYTES, file_bytes)
+    runs = max(1, file_bytes // max(together, int(1.001 * longest) + HEADERS))
+    members = records.mapInArrow(_members(together), "value binary").select(F.col("value").cast("string").alias("value"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", min(runs, per_file or runs)).text(path)
 
 
 FIELDS = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to string, page_id long, payload binary, payload_bytes long, payload_digest string"
@@ -122,34 +138,41 @@ def parse_records(raw: bytes):
             yield parse_record(record)
 
 
-def _read(with_payload: bool):
-    def rows(content: bytes):
-        for headers, block in parse_records(content):
-            kind = headers.get("warc-type")
-            payload, page = None, None
-            if kind == "response":
-                payload = block.partition(b"\r\n\r\n")[2]
-            if kind == "metadata":
-                page = next((int(v) for k, _, v in (x.partition(": ") for x in block.decode().split("\r\n")) if k == "page-id" and v), None)
-            yield (
-                headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-refers-to"), page,
-                payload if with_payload else None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest(),
-            )
+def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    kind = headers.get("warc-type")
+    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+    page = next((int(v) for k, _, v in (x.partition(": ") for x in block.decode().split("\r\n")) if k == "page-id" and v), None) if kind == "metadata" else None
+    known = [headers.get(f"warc-{name}") for name in ("record-id", "type", "concurrent-to", "target-uri", "date", "refers-to")]
+    return (*known, page, payload if with_payload else None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest())
+
 
+def _read(with_payload: bool):
     names = [x.split()[0] for x in FIELDS.split(", ")]
     kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in FIELDS.split(", ")]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
             for content in batch.column("content"):
-                columns = list(zip(*rows(content.as_py()), strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                for headers, block in parse_records(memoryview(content.as_buffer())):
+                    rows.append(_row(headers, block, with_payload))
+                    size += 512 + (len(block) if with_payload else 0)
+                    if size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row per record; payload_bytes and payload_digest are taken from what was read, also without the payload itself."""
+    """A row per record; payload_bytes and payload_digest are taken from what was read, also without the payload itself.
+
+    A task holds one file, a record and a batch of some BATCH_BYTES. Files of 2 GiB and more are refused by Spark; a member
+    that is cut off or is no record ends the job with an error.
+    """
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read(with_payload), FIELDS)
 
 
