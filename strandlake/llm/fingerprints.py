@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame functions only.
 
-A paragraph is a line; long lines can be cut further, by their content, into sentences and shorter pieces. A paragraph
+A paragraph is a line, one over ``MOST`` characters in slices; long lines can be cut further, by their content, into sentences and shorter pieces. A paragraph
 becomes a 63-bit key: 43 bits of its hash and its length in 20 bits. A sketch has three tables of cells; each key is added
 to one cell of each table, as a count, an XOR of keys and an XOR of check hashes. The sketches of two versions subtract
 cell by cell; peeling cells that hold one key recovers the keys found in just one version. If peeling ends with cells
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: rounds of peeling at most
 CELLS, PER_KEY, GROWTH, SIZES, PEELS = 24, 32, 4, 3, 40
 LENGTH_BITS = 20
+#: characters of a paragraph at most
+MOST = (1 << LENGTH_BITS) - 2
 #: documents that one window group holds on average when the next document is looked up, and quantiles of doc_id
 ROWS, CUTS = 256, 1024
 #: the query cuts lines of more characters into sentences, and sentences of more into pieces that end where two letters say so
@@ -27,6 +29,9 @@ SENTENCE, PIECE = r"(?<=[.!?]) ", r"(?<=[aeiou]) (?=[a-l])"
 def paragraphs(text: Column, cut: bool = False) -> Column:
     """Lines of a text; with ``cut``, long ones in pieces. Where a piece ends depends on the characters there alone, so an edit changes few of them."""
     lines = F.split(text, "\n")
+    # a key holds a length of 20 bits, so longer lines are cut at that many characters
+    slices = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(p) - 1) / MOST), F.lit(0)).cast("int")), lambda i: F.substring(p, i * MOST + 1, F.lit(MOST)))
+    lines = F.when(F.length(text) > MOST, F.flatten(F.transform(lines, slices))).otherwise(lines)
     if not cut:
         return lines
     whole = lambda p, most, pattern: F.when(F.length(p) > most, F.split(p, pattern)).otherwise(F.array(p))
@@ -36,8 +41,7 @@ def paragraphs(text: Column, cut: bool = False) -> Column:
 
 def paragraph_keys(text: Column, cut: bool = False) -> Column:
     """Sorted distinct paragraph keys. Equal paragraphs count once; an empty text has one empty paragraph."""
-    length = F.lit((1 << LENGTH_BITS) - 1)
-    return F.sort_array(F.array_distinct(F.transform(paragraphs(text, cut), lambda p: F.shiftleft(F.shiftrightunsigned(F.xxhash64(p), LENGTH_BITS + 1), LENGTH_BITS).bitwiseOR(F.least(F.length(p) + 1, length).cast("long")))))
+    return F.sort_array(F.array_distinct(F.transform(paragraphs(text, cut), lambda p: F.shiftleft(F.shiftrightunsigned(F.xxhash64(p), LENGTH_BITS + 1), LENGTH_BITS).bitwiseOR((F.length(p) + 1).cast("long")))))
 
 
 def _check(key: Column) -> Column:

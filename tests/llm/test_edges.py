@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 import corpus_pipeline
-from strandlake.llm import fingerprints, packing, pii, queries, sentencepiece_codec, substring_dedup, topk, toxicity
+from strandlake.llm import fingerprints, packing, pii, queries, sentencepiece_codec, substring_dedup, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: columns that no query knows, with names that operators use inside
@@ -233,7 +233,6 @@ def test_warc_query(spark, awkward):
 def test_warc_files_are_gzip_members_that_name_real_records(spark, tmp_path):
     import gzip
 
-    from strandlake.llm import warc
 
     big = "é" * (9 << 20)  # over 16 MiB
     pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "v", "z")], "page_id long, url string, html string")
@@ -382,3 +381,28 @@ def test_toxicity_query(spark, awkward):
     d, rows, _ = awkward
     out = queries.QUERIES["op10_toxicity"](spark, d).collect()
     assert len(out) == len(rows) and all(0 <= r.severity <= 2 and r.grade == round(r.severity) and r.rejected == (r.severity >= toxicity.REJECT) for r in out)
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    import os
+
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows = [(i, f"http://a/{i}", noise(rng.choice((10, 500, 3000, 20_000)))) for i in range(300)] + [(1000, "u", noise(150_000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    for most in (40_000, 400_000):
+        path = str(tmp_path / f"a{most}")
+        warc.write_archives(pages, path, file_bytes=most)
+        sizes = sorted(os.path.getsize(f"{path}/{n}") for n in os.listdir(path) if n.startswith("part"))
+        assert sum(s > most for s in sizes) <= 1 and sizes[-1] < max(most, 160_000) and len(sizes) > 2
+        found = warc.read_records(spark, path).where("record_type = 'response'").select("target_uri", F.decode("payload", "utf-8")).collect()
+        assert sorted(map(tuple, found)) == sorted((u, h) for _, u, h in rows)
+
+
+def test_weight_of_a_very_long_paragraph(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefghij", k=2_500_000))
+    df = spark.createDataFrame([(1, long + "\nx"), (2, long)], "doc_id long, text string")
+    keys = {r.doc_id: r.k for r in df.select("doc_id", fingerprints.paragraph_keys(F.col("text")).alias("k")).collect()}
+    weight = lambda ks: sum(k & ((1 << fingerprints.LENGTH_BITS) - 1) for k in ks)
+    assert (len(keys[2]), weight(keys[2])) == (3, 2_500_003) and weight(keys[1]) == 2_500_005 and set(keys[2]) <= set(keys[1])
