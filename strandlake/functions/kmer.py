@@ -256,8 +256,8 @@ def moved(packed: Column, by: int) -> Column:
 
 
 def blacklisted(packed: Column) -> Column:
-    """A location that bars its slot: no position, no flags, the next extension. An empty one stays empty."""
-    return F.when(packed == 0, packed).otherwise(extended(with_extension(F.lit(0).cast("long"), unpack(packed)["ext"])))
+    """A location that bars its slot: no position, no flags, the next extension. One without a position, empty or barred already, stays as it is."""
+    return F.when(unpack(packed)["pos"] == 0, packed).otherwise(extended(with_extension(F.lit(0).cast("long"), unpack(packed)["ext"])))
 
 
 def same_pos_and_ext(a: Column, b: Column) -> Column:

@@ -240,5 +240,35 @@ def repeats_of(linked: DataFrame) -> DataFrame:
     return linked.where("others > 0").select("kmer", "pos", "period", "extent")
 
 
+def periodic_runs(marks: DataFrame, max_dist: int, least: int = 3) -> DataFrame:
+    """(record_ix, contig_ix, kmer, period, n, lo, hi): maximal runs of at least ``least`` occurrences of a k-mer in a contig at one distance, at most ``max_dist``.
+
+    A run goes from position lo to hi. Where the distance changes, the occurrence there ends one run and may begin the next.
+    """
+    own = Window.partitionBy("record_ix", "contig_ix", "kmer").orderBy("pos")
+    rows = marks.select("record_ix", "contig_ix", "kmer", "pos").distinct()
+    steps = rows.select("*", F.lag("pos").over(own).alias("before")).where(F.col("pos") - F.col("before") <= max_dist).withColumn("period", F.col("pos") - F.col("before"))
+    # a step that does not follow one of the same distance begins a run
+    new = F.when((F.lag("pos").over(own) == F.col("before")) & (F.lag("period").over(own) == F.col("period")), 0).otherwise(1)
+    steps = steps.withColumn("new", new).withColumn("run", F.sum("new").over(own))
+    found = steps.groupBy("record_ix", "contig_ix", "kmer", "period", "run").agg((F.count("*") + 1).alias("n"), F.min("before").alias("lo"), F.max("pos").alias("hi"))
+    return found.where(F.col("n") >= least).drop("run")
+
+
+def tandem_repeats(marks: DataFrame, k: int, max_dist: int, least: int = 3) -> DataFrame:
+    """(record_ix, contig_ix, period, lo, hi, kmers, occurrences): maximal repeats, as bases lo+1 .. hi among all coded ones.
+
+    Runs of different k-mers with one period that share bases, or touch, are parts of one repeat: its anchor moves to the
+    first of them and its extent grows by the others. A contig's runs of a period are joined in order of where they begin,
+    by the greatest end so far, so a repeat may have any number of k-mers and lie over any number of chunks.
+    """
+    runs = periodic_runs(marks, max_dist, least).withColumn("lo", F.col("lo") - k)
+    order = Window.partitionBy("record_ix", "contig_ix", "period").orderBy("lo", "hi", "kmer")
+    ended = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(F.col("lo") <= ended, 0).otherwise(1)).withColumn("part", F.sum("new").over(order))
+    found = runs.groupBy("record_ix", "contig_ix", "period", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count_distinct("kmer").alias("kmers"), F.sum("n").alias("occurrences"))
+    return found.drop("part")
+
+
 def top_periods(found: DataFrame, most: int = 20) -> DataFrame:
     return found.groupBy("period").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "period").limit(most)

@@ -292,13 +292,49 @@ def long_marks(spark, sf_dir):
     return marks.marks_of_chunks(cells.withColumn("offset", F.col("own") - F.col("twobit")), k, read_len, seed)
 
 
+def recurrence_masked(spark, sf_dir):
+    """Recurrence judged on the low bits of k-mers alone."""
+    return marks.without_recurrence(_marks(spark, sf_dir), SMALL[3], bits=5)
+
+
+def contig_bounds(spark, sf_dir):
+    """Where the contig of each mark begins and ends among all coded bases."""
+    return _located(spark, sf_dir).select("pos", "ori", F.col("twobit").alias("lo"), (F.col("twobit") + F.col("length")).alias("hi"))
+
+
+def tandem_repeats(spark, sf_dir):
+    """Maximal repeats of one period, joined over k-mers."""
+    return marks.tandem_repeats(_marks(spark, sf_dir), SMALL[0], SMALL[3])
+
+
+def _mates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Codes of planted mates: of every document a stretch, and the reverse complement of a later one."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"), F.substring("text", 301, 200).alias("b"))
+    second = contigs.coded(docs, "doc_id", "b", kmer.synthetic)
+    return contigs.coded(docs, "doc_id", "a", kmer.synthetic), second.select("record_ix", F.reverse(F.translate("codes", "0123", "2301")).alias("codes"))
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    lists = _postings(spark, sf_dir)
+    hits = (mapping.probe(mapping.read_marks(contigs.contigs(codes), *LARGE[:3]), lists) for codes in _mates(spark, sf_dir))
+    return mapping.pairs(*hits, _contigs(spark, sf_dir).drop("digits"), 2000)
+
+
+def map_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+def pair_summary(spark, sf_dir):
+    return mapping.pair_summary(_mates(spark, sf_dir)[0], _pairs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__ if f is not contig_table else "contigs": f
     for f in (
         base_composition, base_encode_nibble, contig_table, contig_lengths, contig_terminals, record_summary, kmers_canonical, kmer_spectrum, xmer_hash, extend_slot, xmer_unhash, pack_unpack_location,
         window_candidates, median_marks, marks_per_record, recurrence_filter, multimap_chain, repetitive_kept, repeat_period_top20, slot_route_histogram, slot_table, slot_overflow, slot_stats, pos_to_contig,
         kmer_interval, base_range_scan, map_reads, map_summary, reconstruct_check, fasta_roundtrip, fastq_roundtrip, read_pairs,
-        record_report, index_counts, base_functions, xmer_location, location_functions, posting_distances, fastq_scan, long_contigs, long_marks,
+        record_report, index_counts, base_functions, xmer_location, location_functions, posting_distances, fastq_scan, long_contigs, long_marks, recurrence_masked, contig_bounds, tandem_repeats, map_pairs, pair_summary,
     )
 } | {"postings": posting_lists}
 
@@ -439,9 +475,33 @@ def _packed_sql() -> str:
 _LOCATED = f"{_POST}, {_contig_sql().lstrip()}, lo AS (SELECT pl.kmer, pl.pos, pl.ori, ct.twobit FROM pl JOIN ct ON pl.pos > ct.twobit AND pl.pos <= ct.twobit + ct.length)"
 _CANONICAL = "CASE WHEN dna < rc OR (dna = rc AND dna & 1 = 1) THEN dna ELSE rc END"
 
+def _read_sql(table: str, p: str, code: str = _SYNTHETIC) -> str:
+    """CTEs: marks of reads of a table (item_id, text), by place in the read, as rm{p}."""
+    k, read_len, seed, _ = LARGE
+    steps = (_bases(code, table, "item_id", f"bs{p}"), _kmer_sql(k, f"bs{p}", f"km{p}"), _candidate_sql(k, read_len, seed, f"km{p}", f"cd{p}"), _median_sql(k, read_len, f"cd{p}", f"mk{p}"))
+    return ",".join(steps) + f", rf{p} AS (SELECT r, min(pos) - 1 AS f FROM bs{p} GROUP BY r), rm{p} AS (SELECT mk{p}.r AS read_ix, mk{p}.ori AS read_ori, mk{p}.kmer FROM mk{p} JOIN rf{p} USING (r))"
+
+
+_FIRST = "(SELECT doc_id AS item_id, coalesce(substr(text, 1, 200), '') AS text FROM documents)"
+_SECOND = "(SELECT doc_id AS item_id, array_to_string(list_reverse(string_split(coalesce(substr(text, 301, 200), ''), '')), '') AS text FROM documents)"
+_REVERSED = "CASE WHEN c NOT IN ('.', chr(10)) THEN xor(ord(c) & 3, 2) END"
+_PLACED = "SELECT DISTINCT read_ix, ct.record_ix, ct.contig_ix, pl.pos, CASE WHEN rm{p}.read_ori = pl.ori THEN 0 ELSE 1 END AS strand FROM rm{p} JOIN pl ON pl.kmer = rm{p}.kmer JOIN ct ON pl.pos > ct.twobit AND pl.pos <= ct.twobit + ct.length"
+_PAIRS = f"{_POST},{_contig_sql().lstrip()},{_read_sql(_FIRST, 'a')},{_read_sql(_SECOND, 'b', _REVERSED)}, pa AS ({_PLACED.format(p='a')}), pb AS ({_PLACED.format(p='b')}), pr AS (SELECT pa.read_ix, pa.record_ix, pa.contig_ix, pa.pos, pb.pos AS mate_pos, pa.strand, abs(pa.pos - pb.pos) AS distance FROM pa JOIN pb ON pb.read_ix = pa.read_ix AND pb.record_ix = pa.record_ix AND pb.contig_ix = pa.contig_ix AND pb.strand <> pa.strand AND abs(pa.pos - pb.pos) <= 2000)"
+_TANDEM = f"""{_with(_marks_sql(SMALL), _contig_sql())}, mc AS (SELECT DISTINCT ct.record_ix, ct.contig_ix, mk.pos, mk.kmer FROM mk JOIN ct ON ct.record_ix = mk.r AND mk.pos > ct.twobit AND mk.pos <= ct.twobit + ct.length),
+t1 AS (SELECT *, pos - lag(pos) OVER w AS period, pos - lag(pos, 2) OVER w AS two FROM mc WINDOW w AS (PARTITION BY record_ix, contig_ix, kmer ORDER BY pos)),
+t2 AS (SELECT *, sum(CASE WHEN two = 2 * period THEN 0 ELSE 1 END) OVER (PARTITION BY record_ix, contig_ix, kmer ORDER BY pos) AS run FROM t1 WHERE period <= {SMALL[3]}),
+t3 AS (SELECT record_ix, contig_ix, kmer, period, run, count(*) + 1 AS n, min(pos) - period - {SMALL[0]} AS lo, max(pos) AS hi FROM t2 GROUP BY record_ix, contig_ix, kmer, period, run HAVING count(*) >= 2),
+t4 AS (SELECT *, max(hi) OVER (PARTITION BY record_ix, contig_ix, period ORDER BY lo, hi, kmer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM t3),
+t5 AS (SELECT *, sum(CASE WHEN lo <= ended THEN 0 ELSE 1 END) OVER (PARTITION BY record_ix, contig_ix, period ORDER BY lo, hi, kmer) AS part FROM t4)
+SELECT record_ix, contig_ix, period, min(lo) AS lo, max(hi) AS hi, count(DISTINCT kmer) AS kmers, CAST(sum(n) AS BIGINT) AS occurrences FROM t5 GROUP BY record_ix, contig_ix, period, part"""
 _LETTERS = "(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z.]', '', 'g') AS text FROM documents)"
 
 ORACLE_SQL: dict[str, str] = {
+    "map_pairs": f"{_PAIRS} SELECT * FROM pr",
+    "pair_summary": f"{_PAIRS}, n AS (SELECT read_ix, record_ix, contig_ix, strand, count(*) AS n, sum(count(*)) OVER (PARTITION BY read_ix) AS pairs, row_number() OVER (PARTITION BY read_ix ORDER BY count(*) DESC, record_ix, contig_ix, strand) AS i FROM pr GROUP BY read_ix, record_ix, contig_ix, strand) SELECT doc_id AS read_ix, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, record_ix, contig_ix, strand FROM documents LEFT JOIN n ON read_ix = doc_id AND i = 1",
+    "tandem_repeats": _TANDEM,
+    "contig_bounds": f"{_AT} SELECT pos, ori, twobit AS lo, twobit + length AS hi FROM lo",
+    "recurrence_masked": f"{_with(_marks_sql(SMALL), _contig_sql())}, l AS (SELECT *, lag(pos, 1) OVER w AS p1, lag(pos, 2) OVER w AS p2 FROM mk WINDOW w AS (PARTITION BY r, g, CAST(kmer AS BIGINT) & 31 ORDER BY pos, ori)) SELECT ct.record_ix, ct.contig_ix, l.pos, l.ori, l.kmer FROM l JOIN ct ON ct.record_ix = l.r AND l.pos > ct.twobit AND l.pos <= ct.twobit + ct.length WHERE NOT coalesce(l.pos - p1 <= {SMALL[3]} AND p1 - p2 <= {SMALL[3]}, FALSE)",
     "fastq_scan": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS read_ix, 'r' || doc_id AS name, seq, translate(seq, 'abc', '@+@') AS qual FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq FROM documents)",
     "long_contigs": f"{_with(_bases(table=_LETTERS), _contig_sql())} SELECT * FROM ct",
     "long_marks": f"{_with(_marks_sql(SMALL, table=_LETTERS), _contig_sql())} SELECT ct.record_ix, ct.contig_ix, mk.pos, mk.ori, mk.kmer FROM mk JOIN ct ON ct.record_ix = mk.r AND mk.pos > ct.twobit AND mk.pos <= ct.twobit + ct.length",
