@@ -485,8 +485,8 @@ def _read_sql(table: str, p: str, code: str = _SYNTHETIC) -> str:
 _FIRST = "(SELECT doc_id AS item_id, coalesce(substr(text, 1, 200), '') AS text FROM documents)"
 _SECOND = "(SELECT doc_id AS item_id, array_to_string(list_reverse(string_split(coalesce(substr(text, 301, 200), ''), '')), '') AS text FROM documents)"
 _REVERSED = "CASE WHEN c NOT IN ('.', chr(10)) THEN xor(ord(c) & 3, 2) END"
-_PLACED = "SELECT DISTINCT read_ix, ct.record_ix, ct.contig_ix, pl.pos, CASE WHEN rm{p}.read_ori = pl.ori THEN 0 ELSE 1 END AS strand FROM rm{p} JOIN pl ON pl.kmer = rm{p}.kmer JOIN ct ON pl.pos > ct.twobit AND pl.pos <= ct.twobit + ct.length"
-_PAIRS = f"{_POST},{_contig_sql().lstrip()},{_read_sql(_FIRST, 'a')},{_read_sql(_SECOND, 'b', _REVERSED)}, pa AS ({_PLACED.format(p='a')}), pb AS ({_PLACED.format(p='b')}), pr AS (SELECT pa.read_ix, pa.record_ix, pa.contig_ix, pa.pos, pb.pos AS mate_pos, pa.strand, abs(pa.pos - pb.pos) AS distance FROM pa JOIN pb ON pb.read_ix = pa.read_ix AND pb.record_ix = pa.record_ix AND pb.contig_ix = pa.contig_ix AND pb.strand <> pa.strand AND abs(pa.pos - pb.pos) <= 2000)"
+_PLACED = "SELECT DISTINCT read_ix, record_ix, contig_ix, pos, CASE WHEN read_ori = ori THEN 0 ELSE 1 END AS strand FROM rm{p} JOIN lp USING (kmer)"
+_PAIRS = f"{_POST},{_contig_sql().lstrip()},{_read_sql(_FIRST, 'a')},{_read_sql(_SECOND, 'b', _REVERSED)}, lp AS MATERIALIZED (SELECT pl.kmer, pl.pos, pl.ori, ct.record_ix, ct.contig_ix FROM pl JOIN ct ON pl.pos > ct.twobit AND pl.pos <= ct.twobit + ct.length), pa AS MATERIALIZED ({_PLACED.format(p='a')}), pb AS MATERIALIZED ({_PLACED.format(p='b')}), pr AS (SELECT pa.read_ix, pa.record_ix, pa.contig_ix, pa.pos, pb.pos AS mate_pos, pa.strand, abs(pa.pos - pb.pos) AS distance FROM pa JOIN pb ON pb.read_ix = pa.read_ix AND pb.record_ix = pa.record_ix AND pb.contig_ix = pa.contig_ix AND pb.strand <> pa.strand AND abs(pa.pos - pb.pos) <= 2000)"
 _TANDEM = f"""{_with(_marks_sql(SMALL), _contig_sql())}, mc AS (SELECT DISTINCT ct.record_ix, ct.contig_ix, mk.pos, mk.kmer FROM mk JOIN ct ON ct.record_ix = mk.r AND mk.pos > ct.twobit AND mk.pos <= ct.twobit + ct.length),
 t1 AS (SELECT *, pos - lag(pos) OVER w AS period, pos - lag(pos, 2) OVER w AS two FROM mc WINDOW w AS (PARTITION BY record_ix, contig_ix, kmer ORDER BY pos)),
 t2 AS (SELECT *, sum(CASE WHEN two = 2 * period THEN 0 ELSE 1 END) OVER (PARTITION BY record_ix, contig_ix, kmer ORDER BY pos) AS run FROM t1 WHERE period <= {SMALL[3]}),
