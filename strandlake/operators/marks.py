@@ -67,6 +67,39 @@ def _hash(v: np.ndarray, seed: int, k: int) -> np.ndarray:
     return (high ^ (low & (mask ^ s))) << k | (low ^ (high & s))
 
 
+#: windows of more numbers are ranked together
+WIDE = 64
+
+
+def sliding_order(code: np.ndarray, start: np.ndarray, width: int, place: int) -> np.ndarray:
+    """The number that ``place`` others of its window go below, for windows code[start : start + width] of different numbers.
+
+    Narrow windows are partitioned one by one. For wide ones all numbers are ranked once, and every window finds its rank bit
+    by bit, from the highest: counts of ranks ahead of each place say how many in the window have the bit unset, and windows
+    follow their side. That costs the same for windows of any width.
+    """
+    if width <= WIDE:
+        views, out = np.lib.stride_tricks.sliding_window_view(code, width), np.empty(len(start), np.int64)
+        for lo in range(0, len(start), 4096):
+            out[lo : lo + 4096] = np.partition(views[start[lo : lo + 4096]], place, axis=1)[:, place]
+        return out
+    order = np.argsort(code)
+    ranks = np.empty(len(code), np.int32)
+    ranks[order] = np.arange(len(code), dtype=np.int32)
+    lo, hi, left, found = start.astype(np.int32), (start + width).astype(np.int32), np.full(len(start), place, np.int32), np.zeros(len(start), np.int32)
+    for bit in reversed(range(int(len(code) - 1).bit_length())):
+        unset = (ranks >> bit) & 1 == 0
+        ahead = np.zeros(len(ranks) + 1, np.int32)
+        np.cumsum(unset, out=ahead[1:])
+        low, high = ahead[lo], ahead[hi]
+        above = left >= high - low
+        found |= above.astype(np.int32) << bit
+        left -= np.where(above, high - low, 0)
+        lo, hi = np.where(above, ahead[-1] + lo - low, low), np.where(above, ahead[-1] + hi - high, high)
+        ranks = np.concatenate((ranks[unset], ranks[~unset]))
+    return code[order[found]]
+
+
 def _medians(k: int, read_len: int, seed: int, most: int = 1 << 16):
     """Chunks (offset of their own bases in the contig) with the bases before them -> marks. The chunks of a batch lie behind each other, and windows that span two are left out."""
     window = read_len + 1 - k
@@ -90,11 +123,7 @@ def _medians(k: int, read_len: int, seed: int, most: int = 1 << 16):
         code = np.stack([_hash(dna, seed, k) * width + ring * 2, _hash(rc, seed, k) * width + ring * 2 + 1], 1).ravel()
         end = np.arange(window - 1, n)
         end = end[(row[end - window + 1] == np.searchsorted(first, end + k - 1, "right") - 1) & (o[end] >= read_len)]
-        views = np.lib.stride_tricks.sliding_window_view(code, width)[::2]
-        middle = np.empty(len(end), np.int64)
-        for lo in range(0, len(end), 4096):
-            at = end[lo : lo + 4096]
-            middle[lo : lo + 4096] = np.partition(views[at - window + 1], window, axis=1)[:, window]
+        middle = sliding_order(code, (end - window + 1) * 2, width, window)
         s = middle % width
         at = end - (ring[end] - s // 2) % window
         # each mark once, by the first of its windows, in the chunk where that one ends
