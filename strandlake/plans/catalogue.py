@@ -179,6 +179,15 @@ def map_reads(spark, sf_dir):
     return mapping.probe(_read_marks(spark, sf_dir), _postings(spark, sf_dir))
 
 
+def slot_probe(spark, sf_dir):
+    """Documents looked up in the slot table of the benchmark's passages, by the rule of one extension at a time, and in its overflow."""
+    k, read_len, seed, max_dist = LARGE
+    passages = marks.median_marks(_contigs(spark, sf_dir, table="benchmark", record="item_id"), k, read_len, seed)
+    table, over = slots.place(marks.postings(passages, max_dist), k)
+    hits = mapping.probe_slots(mapping.read_marks(_contigs(spark, sf_dir), k, read_len, seed), table, k, over)
+    return hits.select("read_ix", "read_pos", "read_ori", "kmer", "pos", "ori", "dup")
+
+
 def map_summary(spark, sf_dir):
     found = _read_marks(spark, sf_dir)
     hits = mapping.probe(found, _postings(spark, sf_dir))
@@ -333,7 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         base_composition, base_encode_nibble, contig_table, contig_lengths, contig_terminals, record_summary, kmers_canonical, kmer_spectrum, xmer_hash, extend_slot, xmer_unhash, pack_unpack_location,
         window_candidates, median_marks, marks_per_record, recurrence_filter, multimap_chain, repetitive_kept, repeat_period_top20, slot_route_histogram, slot_table, slot_overflow, slot_stats, pos_to_contig,
-        kmer_interval, base_range_scan, map_reads, map_summary, reconstruct_check, fasta_roundtrip, fastq_roundtrip, read_pairs,
+        kmer_interval, base_range_scan, map_reads, slot_probe, map_summary, reconstruct_check, fasta_roundtrip, fastq_roundtrip, read_pairs,
         record_report, index_counts, base_functions, xmer_location, location_functions, posting_distances, fastq_scan, long_contigs, long_marks, recurrence_masked, contig_bounds, tandem_repeats, map_pairs, pair_summary,
     )
 } | {"postings": posting_lists}
@@ -399,9 +408,9 @@ def _marks_sql(setting, table="documents", record="doc_id", p="") -> str:
     return ",".join([_bases(table=table, record=record, name=f"bs{p}"), _kmer_sql(k, f"bs{p}", f"km{p}"), _candidate_sql(k, read_len, seed, f"km{p}", f"cd{p}"), _median_sql(k, read_len, f"cd{p}", f"mk{p}")])
 
 
-def _postings_sql() -> str:
+def _postings_sql(table="documents", record="doc_id") -> str:
     d = LARGE[3]
-    return _marks_sql(LARGE) + f""",
+    return _marks_sql(LARGE, table, record) + f""",
 md AS (SELECT kmer, pos, min(ori) AS ori FROM mk GROUP BY kmer, pos),
 kp(kmer, pos) AS (SELECT kmer, min(pos) FROM md GROUP BY kmer UNION ALL SELECT kp.kmer, min(md.pos) FROM kp JOIN md ON md.kmer = kp.kmer AND md.pos > kp.pos + {d} GROUP BY kp.kmer, kp.pos),
 kn AS (SELECT kmer, pos, lead(pos) OVER (PARTITION BY kmer ORDER BY pos) AS nxt, CAST(row_number() OVER (PARTITION BY kmer ORDER BY pos) - 1 AS INTEGER) AS ext FROM kp),
@@ -433,8 +442,10 @@ def _unhash_sql() -> str:
 
 
 _PLAIN = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
-_READS = _marks_sql(LARGE, "benchmark", "item_id", "r") + ", rf AS (SELECT r, min(pos) - 1 AS f FROM bsr GROUP BY r), rm AS (SELECT mkr.r AS read_ix, mkr.pos - rf.f AS read_pos, mkr.ori AS read_ori, mkr.kmer FROM mkr JOIN rf USING (r))"
-_HITS = f"{_POST},{_READS}, hi AS (SELECT read_ix, read_pos, read_ori, rm.kmer, ext, pos, ori, dup FROM rm JOIN pl ON pl.kmer = rm.kmer)"
+_READ = ", rf AS (SELECT r, min(pos) - 1 AS f FROM bsr GROUP BY r), rm AS (SELECT mkr.r AS read_ix, mkr.pos - rf.f AS read_pos, mkr.ori AS read_ori, mkr.kmer FROM mkr JOIN rf USING (r))"
+_READS = _marks_sql(LARGE, "benchmark", "item_id", "r") + _READ
+_HIT = ", hi AS (SELECT read_ix, read_pos, read_ori, rm.kmer, ext, pos, ori, dup FROM rm JOIN pl ON pl.kmer = rm.kmer)"
+_HITS = f"{_POST},{_READS}{_HIT}"
 
 
 
@@ -530,6 +541,7 @@ ORACLE_SQL: dict[str, str] = {
     "kmer_interval": f"{_AT} SELECT pos, ori, greatest(twobit, pos - {LARGE[1]}) AS lo, least(twobit + length, pos + {LARGE[1] + 1 - _K}) AS hi FROM lo",
     "base_range_scan": f"{_with(_marks_sql(LARGE))}, x AS (SELECT mk.pos, mk.ori, string_agg(CAST(bs.b AS VARCHAR), '' ORDER BY bs.pos) AS bases FROM mk JOIN range({_K}) t(d) ON TRUE JOIN bs ON bs.pos = mk.pos - d GROUP BY mk.pos, mk.ori) SELECT pos, ori, bases FROM x",
     "map_reads": f"{_HITS} SELECT * FROM hi",
+    "slot_probe": f"WITH RECURSIVE {_postings_sql('benchmark', 'item_id')},{_marks_sql(LARGE, p='r')}{_READ}{_HIT} SELECT read_ix, read_pos, read_ori, kmer, pos, ori, dup FROM hi",
     "map_summary": f"{_HITS}, a AS (SELECT read_ix, count(*) AS marks FROM rm GROUP BY read_ix), z AS (SELECT read_ix, count(*) AS hits FROM hi GROUP BY read_ix) SELECT item_id AS read_ix, coalesce(marks, 0) AS marks, coalesce(hits, 0) AS hits, CASE WHEN hits > 0 THEN 'mapped' WHEN marks > 0 THEN 'unmapped' ELSE 'short' END AS status FROM benchmark LEFT JOIN a ON a.read_ix = item_id LEFT JOIN z ON z.read_ix = item_id",
     "reconstruct_check": f"{_POST}, ag AS (SELECT pl.kmer, pl.pos, pl.ori, CASE WHEN pl.ori = 0 THEN sum(bs.b << CAST(2 * ({_K} - 1 - d) AS BIGINT)) ELSE sum(xor(bs.b, 2) << CAST(2 * d AS BIGINT)) END AS again FROM pl JOIN range({_K}) t(d) ON TRUE JOIN bs ON bs.pos = pl.pos - d GROUP BY pl.kmer, pl.pos, pl.ori) SELECT again = kmer AS agrees, count(*) AS n FROM ag GROUP BY 1",
     "fasta_roundtrip": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS record_ix, 'r' || item_id AS name, 'of prose' AS description, {_PLAIN} AS seq FROM benchmark",
