@@ -1,0 +1,57 @@
+"""Positions that meet their contigs, and short ranges that meet their chunks, once."""
+
+import random
+
+import pytest
+
+from strandlake.operators import contigs, mapping, packed
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    rng = random.Random(2)
+    rows, at = [], 0
+    for i, n in enumerate((3, 1, 64, 700, 5, 129)):
+        at += (0, 2)[i == 3]  # positions 69 and 70 are in no contig
+        rows.append((i // 2, i % 2, at, 7 * i, n, "".join(rng.choice("0123") for _ in range(n))))
+        at += n
+    return spark.createDataFrame(rows, "record_ix long, contig_ix int, twobit long, genomic long, length long, digits string")
+
+
+@pytest.mark.parametrize("size", [8, 64, 4096])
+def test_positions_meet_their_contigs(spark, found, size):
+    rows = found.collect()
+    at = [0, 69, 70, 905, 10**6, *range(1, 900, 7), *[100] * 50]
+    positions = spark.createDataFrame([(p, str(i)) for i, p in enumerate(at)] + [(None, "null")], "pos long, tag string")
+    inside = [(p, str(i), *r[:5]) for i, p in enumerate(at) for r in rows if r.twobit < p <= r.twobit + r.length]
+    assert sorted(map(tuple, contigs.pos_to_contig(positions, found, size).collect())) == sorted(inside)
+    kept = contigs.pos_to_contig(positions, found, size, keep=True).collect()
+    assert len(kept) == len(at) + 1 and {r.tag for r in kept if r.record_ix is None} == {"null", *map(str, range(len(at)))} - {r[1] for r in inside}
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(8, 12), (64, 16), (4096, 256)])
+def test_short_ranges(spark, found, size, overlap):
+    stored = packed.pack(contigs.base_chunks(found, size, overlap))
+    rng, want = random.Random(3), []
+    for r in found.collect():
+        for _ in range(60):
+            lo = rng.randrange(r.length)
+            n = rng.randrange(1, 13)
+            want.append((r.record_ix, r.contig_ix, r.twobit + lo, r.twobit + lo + n, r.digits[lo : lo + n] if lo + n <= r.length else None))
+    want += [(0, 0, 1, 1, None), (9, 0, 1, 2, None), (None, None, 69, 70, None)]
+    ranges = spark.createDataFrame([w[:4] for w in want], "record_ix long, contig_ix int, lo long, hi long")
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, packed.short_scan(ranges, stored, 12, size, overlap).collect()), key=key) == sorted(want, key=key)
+    with pytest.raises(Exception, match="longer than 11"):
+        packed.short_scan(ranges, stored, 11, size, overlap).collect()
+
+
+def test_one_cut_and_no_way_back(spark, found):
+    """Postings meet contigs and chunks, and are not joined with themselves again; their bases are cut once."""
+    lists = spark.createDataFrame([(5, 0, 9, 0), (6, 0, 70, 1)], "kmer long, ext int, pos long, ori int")
+    stored = packed.pack(contigs.base_chunks(found))
+    checked = mapping.reconstruct(lists, found, 4, stored)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and plan.count("Join") == 2
+    assert plan.count("MapInArrow") == 2  # the chunks, and the cut
+    assert [(r.pos, r.again is None, r.agrees) for r in checked.orderBy("pos").collect()][1] == (70, True, False)
