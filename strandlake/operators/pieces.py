@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialize
 from .contigs import running_total
 
 
@@ -27,8 +28,11 @@ def runs(pieces: DataFrame, code) -> DataFrame:
     meta = meta.withColumn("bases", F.coalesce(F.sum("n").over(before), F.lit(0)))
     new = F.col("count") - F.col("goes_on").cast("int")
     begun = F.when(new > 0, F.struct((F.col("bases") + F.col("n") - F.col("last.length")).alias("twobit"), (F.col("start") + F.col("last.end") - F.col("last.length")).alias("genomic")))
-    meta = meta.select("record_ix", "start", "goes_on", "bases", F.coalesce(F.sum(new).over(before), F.lit(0)).alias("ahead"), F.last(begun, True).over(before).alias("carried"))
-    total = running_total(rows.groupBy("record_ix").agg(F.sum(n.cast("long")).alias("n")), F.col("n")).select("record_ix", "before")
+    meta = meta.select("record_ix", "start", "n", "goes_on", "bases", F.coalesce(F.sum(new).over(before), F.lit(0)).alias("ahead"), F.last(begun, True).over(before).alias("carried"))
+    # one short row a piece, stored, so that the pieces are read for these and for the digits alone
+    meta = materialize(meta, "pieces")
+    total = running_total(meta.groupBy("record_ix").agg(F.sum("n").alias("n")), F.col("n")).select("record_ix", "before")
+    meta = meta.drop("n")
     rows = rows.join(meta.join(total, "record_ix"), ["record_ix", "start"])
     rows = rows.select("record_ix", "start", "goes_on", "bases", "ahead", "carried", "before", F.posexplode("found").alias("j", "piece"))
     rows = rows.withColumn("digits", F.ltrim(F.col("piece"), F.lit("N")))
