@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, doc_order, materialize, mix, slices, text_key
+from .common import Words, doc_order, materialize, mix, slices, text_key, tidy
 
 GROUPS = 64
 LEAF = 16
@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     """
     rows = docs.select("doc_id", doc_order().alias("doc_order"), text_key(F.col("text")).alias("key"), "text")
     texts = rows.where("key is not null")
-    sizes = materialize(rows.select("doc_order", "key", "text").mapInArrow(_sizes(size), "kind int, doc_order long, key long, n long"), "sizes")
+    sizes = materialize(rows.select("doc_order", "key", "text").mapInArrow(tidy(_sizes(size)), "kind int, doc_order long, key long, n long"), "sizes")
     own = sizes.where("kind = 0").drop("kind")
     reps = own.groupBy("key").agg(F.min("doc_order").alias("rep"), F.first("n").alias("n"))
     total = own.count()
@@ -393,7 +393,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80, hot:
     least = max(8, WORD_SHARE * places)
     weigh = _weights(*frequent(2, least, int(1 / WORD_SHARE)), least)
 
-    posts = texts.select("key", "text").mapInArrow(_prefixes(size, threshold, last, weigh), "shingle long, key long, size int, at int").repartition("shingle").dropDuplicates(["shingle", "key"])
+    posts = texts.select("key", "text").mapInArrow(tidy(_prefixes(size, threshold, last, weigh)), "shingle long, key long, size int, at int").repartition("shingle").dropDuplicates(["shingle", "key"])
     # the texts of a shingle fall apart where sizes, in order, differ too much to link; most are alone then and end here
     by_size = Window.partitionBy("shingle").orderBy("size")
     posts = posts.withColumn("gap", F.when(F.lag("size").over(by_size) * 100 < F.col("size") * threshold, 1).otherwise(0))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 
 #: the splitting pattern of byte-level BPE (a fixed value)
@@ -85,7 +85,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     """(doc_id, text) -> a row for each piece of its ids and end_id; a longer document's first piece takes what is over."""
 
     def run(batches):
-        coder = encoder(path)
+        coder = TextEncoder(path)  # for this task only: some 40 MB that the worker would keep for all later steps
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
@@ -241,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     doc_ids are documents of their own. Other columns are left out, whatever their names. An empty table gives no rows.
     """
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), columns), "pieces")
+    pieces = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_pieces(tokenizer, capacity, end_id, with_ids)), columns), "pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: kinds with a base pattern, and all kinds
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -216,7 +218,7 @@ def train(kind: np.ndarray, pattern: np.ndarray, n: np.ndarray, p: np.ndarray, r
 
 def fit(docs: DataFrame) -> np.ndarray:
     """Classifier weights from the vote patterns of all documents (their number is bounded, whatever the input)."""
-    rows = docs.select("text").mapInArrow(_tallies, "kind int, base boolean, pattern array<int>, n long").groupBy("kind", "base", "pattern").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(_tallies), "kind int, base boolean, pattern array<int>, n long").groupBy("kind", "base", "pattern").agg(F.sum("n").alias("n")).collect()
     return weights_of([(r.kind, r.base, tuple(r.pattern), r.n) for r in rows])
 
 
@@ -276,7 +278,7 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = (), weights: np.ndarray |
     names = ["doc_id", "text", *keep]
     weights = fit(docs) if weights is None else weights
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names).mapInArrow(_found(weights, names), types + "".join(f", n_{k} long" for k in BASE) + ", n_spans long, base_spans string, spans string, redacted_text string")
+    return docs.select(*names).mapInArrow(tidy(_found(weights, names)), types + "".join(f", n_{k} long" for k in BASE) + ", n_spans long, base_spans string, spans string, redacted_text string")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

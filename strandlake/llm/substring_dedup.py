@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, doc_order, materialize, mix, sliding_min, slices, text_key, word_hashes
+from .common import Words, doc_order, materialize, mix, sliding_min, slices, text_key, tidy, word_hashes
 
 #: words of a phrase, phrases of one automaton, and bytes of text in a bucket on average
 PHRASE, SHARD, BUCKET = 8, 8_192, 1 << 18
@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
     bucket = F.pmod(F.xxhash64("doc_order", "key"), F.lit(max(1, -(-size // BUCKET)))).alias("bucket")
     light = rows.groupBy("key").agg(F.min("doc_order").alias("doc_order"))
 
-    found = rows.select("text", "key").mapInArrow(_phrases(window), "part long, sure boolean, phrase long, key long, n int")
+    found = rows.select("text", "key").mapInArrow(tidy(_phrases(window)), "part long, sure boolean, phrase long, key long, n int")
     # copies of a text in several tasks: n of the one that spoke for a whole batch holds, and any other is no evidence against it
     found = found.repartition("part", "sure").groupBy("part", "sure", "phrase", "key").agg(F.max("n").alias("n"))
     recurring = found.withColumn("total", F.sum("n").over(Window.partitionBy("part", "sure"))).where("sure or total >= 2").select("phrase", "key")

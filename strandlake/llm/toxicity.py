@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_BYTES, Words, materialize, slices
+from .common import LETTER_BYTES, Words, materialize, slices, tidy
 
 #: labelled rows used for fitting at most, features, and least number of distinct texts that hold a feature
 TRAIN_ROWS, FEATURES, LEAST_TEXTS = 20_000, 1024, 5
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     sample = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # bounded by train_rows
-    rows = rows.mapInArrow(_sketches, "text string, toxic int, near long, words array<long>")
+    rows = rows.mapInArrow(tidy(_sketches), "text string, toxic int, near long, words array<long>")
     rows = materialize(rows.groupBy("near").agg(F.min_by(F.struct("text", "toxic", "words"), F.xxhash64("text")).alias("r")).select("r.*"), "labelled")
     sizes = dict(rows.groupBy("toxic").count().collect())
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     known = np.array([r.word for r in best], np.int64).view(np.uint64)
     order = np.argsort(known)
     known, strong = known[order], np.array([r.toxic for r in best])[order]
-    found = rows.select("text", "toxic").mapInArrow(_rows(known), "toxic int, size long, feature array<long>, n array<long>").groupBy("toxic", "size", "feature", "n").count().collect()
+    found = rows.select("text", "toxic").mapInArrow(tidy(_rows(known)), "toxic int, size long, feature array<long>, n array<long>").groupBy("toxic", "size", "feature", "n").count().collect()
     found.sort(key=lambda r: (r.toxic, r["size"], r.feature, r.n))
     x = np.zeros((len(found), len(known)))
     for i, r in enumerate(found):
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     """
     names = ["doc_id", "text", *keep]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names).mapInArrow(_scored(model, names), f"{types}, severity double")
+    return docs.select(*names).mapInArrow(tidy(_scored(model, names)), f"{types}, severity double")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
