@@ -10,19 +10,21 @@ Blank lines after the last read are none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from .fastx import numbered
 from .ranges import SPLIT, Bytes, Range, is_packed, listed, split
 
 SCHEMA = "file string, block long, place long, name string, seq string, qual string"
 #: frames that are looked at to find where a range's first read begins, and reads of a batch
 LOOK, BATCH = 16, 4096
+#: tasks that short ranges are dealt to, as long as a task has at most ``SPLIT`` bytes
+TASKS = 512
 
 
 def _fits(frame: list[bytes]) -> bool:
@@ -120,12 +122,29 @@ class _Reads:
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([partition.start] * len(rows), pa.int64()), pa.array(place, pa.int64()), text(name), text(seq), text(qual)], names=["file", "block", "place", "name", "seq", "qual"])
 
 
-class _BatchReads(_Reads, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return [r for path, size in listed(self.path) for r in split(path, 0, size, size, self.most)] or [Range("", 0, 0, 0)]
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads one after another."""
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return super().read(partition) if partition.path else iter(())
+    ranges: tuple[Range, ...]
+
+
+class _BatchReads(_Reads, DataSourceReader):
+    def partitions(self) -> list[Ranges]:
+        found = [r for path, size in listed(self.path) for r in split(path, 0, size, size, self.most)]
+        enough = min(SPLIT, sum(r.end - r.start for r in found) // TASKS)
+        out, some, held = [], [], 0
+        for one in found:
+            if some and held + one.end - one.start > enough:
+                out.append(Ranges(tuple(some)))
+                some, held = [], 0
+            some.append(one)
+            held += one.end - one.start
+        return [*out, Ranges(tuple(some))]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from super().read(one)
 
 
 class _StreamedReads(_Reads, DataSourceStreamReader):
@@ -172,11 +191,19 @@ class FastqSource(DataSource):
 
 
 def scan_fastq(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
-    """(read_ix, file_ix, name, seq, qual): reads of the files in order of their names, numbered over all and inside their file."""
+    """(read_ix, file_ix, name, seq, qual): reads of the files in order of their names, numbered over all and inside their file.
+
+    A task yields the reads of a range in order, so their numbers come from the first one's and the reads are not shuffled; the
+    first ones and their ranges' counts, one row a range, are broadcast.
+    """
     spark.dataSource.register(FastqSource)
     rows = spark.read.format("fastq").option("splitBytes", str(split_bytes)).load(path)
-    rows = numbered(rows.withColumnsRenamed({"file": "_path", "block": "_block", "place": "_n"}), "read_ix", "file_ix")
-    return rows.select("read_ix", "file_ix", "name", "seq", "qual")
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("_c"), F.min("_id").alias("_first"))
+    before = lambda window: (F.sum("_c").over(window) - F.col("_c")).cast("long")
+    base = sizes.select("file", "block", "_first", before(Window.orderBy("file", "block")).alias("_base"), before(Window.partitionBy("file").orderBy("block")).alias("_own"))
+    i = F.col("_id") - F.col("_first")
+    return rows.join(F.broadcast(base), ["file", "block"]).select((F.col("_base") + i).alias("read_ix"), (F.col("_own") + i).alias("file_ix"), "name", "seq", "qual")
 
 
 def stream_fastq(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
